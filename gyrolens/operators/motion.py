@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from gyrolens.config import ReplayConfig
 from gyrolens.functions.expressions import norm, wrap_angle
 
-ORDER = Window.partitionBy("session_id").orderBy("t_ms", "row_idx")
 
+def _in_time():
+    return Window.partitionBy("session_id").orderBy("t_ms", "row_idx")
 
-def rolling_mean(column: Column, rows: int, order=ORDER) -> Column:
+
+def rolling_mean(column: Column, rows: int) -> Column:
     """Centred mean; an even width leans back by one row."""
-    return F.avg(column).over(order.rowsBetween(-(rows // 2), (rows - 1) // 2))
+    return F.avg(column).over(_in_time().rowsBetween(-(rows // 2), (rows - 1) // 2))
 
 
 def step_candidates(imu: DataFrame, width: int, cfg: ReplayConfig = ReplayConfig()) -> DataFrame:
     """Strict local maxima of the acceleration over its rolling mean: session_id, row_idx, t_ms, dynamic."""
     acc = norm(F.col("ax"), F.col("ay"), F.col("az"))
     rows = imu.withColumn("dynamic", acc - rolling_mean(acc, width))
-    rows = rows.withColumns({"__b": F.lag("dynamic").over(ORDER), "__a": F.lead("dynamic").over(ORDER)})
+    rows = rows.withColumns({"__b": F.lag("dynamic").over(_in_time()), "__a": F.lead("dynamic").over(_in_time())})
     return rows.where((F.col("dynamic") > cfg.step_prominence) & (F.col("dynamic") > F.col("__b")) & (F.col("dynamic") > F.col("__a"))).drop("__a", "__b")
 
 
@@ -37,7 +39,7 @@ def dead_reckoning(track: DataFrame, steps: DataFrame, cfg: ReplayConfig = Repla
     """track (session_id, row_idx, t_ms, yaw) with x, y: steps summed along the heading, from the origin."""
     boost = F.greatest(F.lit(0.8), F.least(F.lit(1.3), F.col("dynamic") / 6.0))
     rows = track.join(steps.select("session_id", "row_idx", "dynamic"), ["session_id", "row_idx"], "left")
-    so_far = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = _in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.when(F.col("dynamic").isNotNull(), cfg.step_length_m * boost)
     return rows.withColumns({"x": F.coalesce(F.sum(length * F.cos("yaw")).over(so_far), F.lit(0.0)), "y": F.coalesce(F.sum(length * F.sin("yaw")).over(so_far), F.lit(0.0))}).drop("dynamic")
 
@@ -48,17 +50,17 @@ def step_warnings(steps: Column) -> Column:
 
 def heading_from_positions(truth: DataFrame) -> DataFrame:
     """Missing headings from movement; the first row takes the second's."""
-    dx, dy = F.col("x") - F.lag("x").over(ORDER), F.col("y") - F.lag("y").over(ORDER)
+    dx, dy = F.col("x") - F.lag("x").over(_in_time()), F.col("y") - F.lag("y").over(_in_time())
     moved = F.when((dx != 0) | (dy != 0), F.atan2(dy, dx))
-    rows = truth.withColumns({"__h": moved, "__n": F.row_number().over(ORDER)})
-    filled = F.coalesce("heading", F.when(F.col("__n") == 1, F.lead("__h").over(ORDER)).otherwise(F.col("__h")))
+    rows = truth.withColumns({"__h": moved, "__n": F.row_number().over(_in_time())})
+    filled = F.coalesce("heading", F.when(F.col("__n") == 1, F.lead("__h").over(_in_time())).otherwise(F.col("__h")))
     return rows.withColumn("heading", filled).drop("__h", "__n")
 
 
 def path_smoothness(track: DataFrame) -> DataFrame:
     """Mean absolute second difference of the unwrapped yaw; 0 for fewer than three rows."""
-    d = F.col("yaw") - F.lag("yaw").over(ORDER)
+    d = F.col("yaw") - F.lag("yaw").over(_in_time())
     wrapped = wrap_angle(d)
     step = F.when((wrapped == -F.pi()) & (d > 0), F.pi()).otherwise(wrapped)
-    rows = track.where(F.col("yaw").isNotNull()).withColumn("__d", step).withColumn("__dd", F.abs(F.col("__d") - F.lag("__d").over(ORDER)))
+    rows = track.where(F.col("yaw").isNotNull()).withColumn("__d", step).withColumn("__dd", F.abs(F.col("__d") - F.lag("__d").over(_in_time())))
     return rows.groupBy("session_id").agg(F.coalesce(F.avg("__dd"), F.lit(0.0)).alias("path_smoothness"))

@@ -44,8 +44,7 @@ stats AS (SELECT session_id, n_rows, coalesce(m, 0) AS median_dt_ms, coalesce(a,
 def windows(memory: bool = False, imu: str = "imu", ses: str = "ses", gps: str = "gps") -> str:
     """CTEs up to win: metrics, penalties, score and codes of each window."""
     gate = (lambda c: "true") if memory else (lambda c: c)
-    base = f"(SELECT greatest(coalesce(quantile_cont(d, 0.5), 0), 1) FROM (SELECT t_ms - lag(t_ms) OVER (ORDER BY t_ms, row_idx) AS d FROM {imu} i2 WHERE i2.session_id = m.session_id))" if memory else "greatest(median_dt, 1)"
-    base = "base_dt" if memory else base
+    base = "base_dt" if memory else "greatest(median_dt, 1)"
     medians = f"bd AS (SELECT session_id, greatest(coalesce(quantile_cont(d, 0.5), 0), 1) AS base_dt FROM (SELECT session_id, t_ms - lag(t_ms) OVER (PARTITION BY session_id ORDER BY t_ms, row_idx) AS d FROM {imu}) GROUP BY session_id),"
     scaled = lambda code, value, top: f"{W[code]} * least(1.0, {value} / {top}::DOUBLE)"
     p = {
@@ -127,7 +126,7 @@ cand AS (SELECT session_id, row_idx, t_ms, dynamic, row_number() OVER ({ORD}) AS
 walk AS (SELECT session_id, row_idx, t_ms, dynamic, rn, t_ms AS last, true AS keep FROM cand WHERE rn = 1
   UNION ALL SELECT c.session_id, c.row_idx, c.t_ms, c.dynamic, c.rn, CASE WHEN c.t_ms - w.last < 280 THEN w.last ELSE c.t_ms END, c.t_ms - w.last >= 280 FROM walk w JOIN cand c ON c.session_id = w.session_id AND c.rn = w.rn + 1),
 steps AS (SELECT * FROM walk WHERE keep)"""
-RECKON = f"""{CAND}, sl AS (SELECT t.*, 0.72::DOUBLE * greatest(0.8::DOUBLE, least(1.3::DOUBLE, dynamic / 6.0::DOUBLE)) AS len FROM track t LEFT JOIN steps USING (session_id, row_idx)),
+RECKON = f"""{CAND}, sl AS (SELECT t.*, CASE WHEN dynamic IS NOT NULL THEN 0.72::DOUBLE * greatest(0.8::DOUBLE, least(1.3::DOUBLE, dynamic / 6.0::DOUBLE)) END AS len FROM track t LEFT JOIN steps USING (session_id, row_idx)),
 dr AS (SELECT session_id, row_idx, sl.t_ms, coalesce(sum(len * cos(yaw)) OVER o, 0) AS x, coalesce(sum(len * sin(yaw)) OVER o, 0) AS y FROM sl WINDOW o AS (PARTITION BY session_id ORDER BY t_ms, row_idx ROWS UNBOUNDED PRECEDING))"""
 WRAP = lambda e: f"(({e}) + pi()) - 2 * pi() * floor((({e}) + pi()) / (2 * pi())) - pi()"
 
@@ -142,7 +141,6 @@ nr AS (SELECT * FROM (SELECT *, CASE WHEN f IS NULL OR (b IS NOT NULL AND t_ms -
 
 
 ORIGIN = lambda t: f"SELECT session_id, row_idx, t_ms, x - first_value(x) OVER o AS x, y - first_value(y) OVER o AS y FROM {t} WINDOW o AS ({ORD})"
-E_ = "DOUBLE"
 SUMMARY_NUMBERS = ("trust_score", "static_window_ratio", "gyro_bias_drift_rads", "gps_alignment_ratio", *[f"t_{k}" for k in CODES])
 
 
@@ -196,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "trust_validation": f"WITH {VALID} SELECT base_id, preset, non_improving, {rows(('clean_score', 'trust_score', 'trust_score_delta'))} FROM val",
         "validation_summary": f"WITH {VALID} SELECT base_id, bool_and(non_improving) AS all_non_improving, CAST(count(*) FILTER (non_improving AND abs(trust_score_delta) < 1e-6) AS INTEGER) AS n_limitations FROM val GROUP BY base_id",
         "validation_delta_stats": f"WITH {VALID} SELECT base_id AS metric, count(*) AS preset_count, round(avg(trust_score_delta), 6) AS average_delta, round(max(trust_score_delta), 6) AS max_delta, round(min(trust_score_delta), 6) AS min_delta FROM val GROUP BY base_id",
-        "rolling_mean_centered": f"WITH {BASE} SELECT session_id, row_idx, round(avg(ax) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS even, round(avg(ax) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS odd FROM imu",
+        "rolling_mean_centered": f"WITH {BASE} SELECT session_id, row_idx, round(avg(ax) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 9) AS even, round(avg(ax) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS odd FROM imu",
         "pdr_peaks": f"WITH RECURSIVE {BASE}, {CAND} SELECT session_id, row_idx, t_ms, round(dynamic, 6) AS dynamic FROM steps",
         "dead_reckoning": f"WITH RECURSIVE {BASE}, {RECKON} SELECT session_id, row_idx, {rows(('x', 'y'), 5)} FROM dr",
         "heading_from_positions": f"""WITH {BASE}, h AS (SELECT *, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy, row_number() OVER o AS n FROM truth WINDOW o AS ({ORD})), g AS (SELECT *, CASE WHEN dx <> 0 OR dy <> 0 THEN atan2(dy, dx) END AS hh FROM h)

@@ -227,7 +227,7 @@ def validation_delta_stats(s, d):
 
 
 def rolling_mean_centered(s, d):
-    return V.imu(s, d).select("session_id", "row_idx", F.round(motion.rolling_mean(F.col("ax"), 4), 6).alias("even"), F.round(motion.rolling_mean(F.col("ax"), 5), 6).alias("odd"))
+    return V.imu(s, d).select("session_id", "row_idx", F.round(motion.rolling_mean(F.col("ax"), 4), 9).alias("even"), F.round(motion.rolling_mean(F.col("ax"), 5), 9).alias("odd"))
 
 
 def _steps(s, d):
