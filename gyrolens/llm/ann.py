@@ -2,7 +2,7 @@
 
 Vectors are dealt to shards of about ``shard_rows`` rows by their id, so neither the table nor a group of equal vectors
 lands in one task. A shard collapses equal vectors to one node with all their ids and builds a graph: in random
-order, in batches that grow with the graph, a greedy search for each node proposes what it visits as neighbours; robust
+order, in batches that grow with the graph and then once more over all, a greedy search for each node proposes what it visits as neighbours; robust
 pruning with a relaxed distance keeps the nearest and drops what a kept neighbour is closer to by the factor ``alpha``;
 kept edges are also added backwards, and lists that grow too long are pruned in the same way. Every query is searched in every
 shard by beam search; distances of what the beams hold are then taken exactly on the original vectors, in double
@@ -128,12 +128,19 @@ class Graph:
         while at < n:
             nodes = order[at : at + min(block, at)]
             at += len(nodes)
-            ids, _ = self.search(self.x[nodes], beam)
-            kept = self.prune(nodes, ids, alpha)
-            self.neighbours[nodes] = kept
-            self._add_backwards(np.repeat(nodes, kept.shape[1]), kept.ravel(), alpha, block)
+            self._link(nodes, beam, alpha, block)
+        for at in range(0, n, block):  # once more, now that the graph holds all nodes
+            self._link(order[at : at + block], beam, alpha, block)
         return self
 
+    def _link(self, nodes: np.ndarray, beam: int, alpha: float, block: int) -> None:
+        ids, _ = self.search(self.x[nodes], beam)
+        held = self.neighbours[nodes]
+        again = (held[:, :, None] == ids[:, None, :]).any(axis=2)
+        kept = self.prune(nodes, np.concatenate([ids, np.where(again, -1, held)], axis=1), alpha)
+        self.neighbours[nodes] = kept
+        self._add_backwards(np.repeat(nodes, kept.shape[1]), kept.ravel(), alpha, block)
+
     def _add_backwards(self, sources: np.ndarray, targets: np.ndarray, alpha: float, block: int) -> None:
         sources, targets = sources[targets >= 0], targets[targets >= 0]
         by = np.argsort(targets, kind="stable")
@@ -148,7 +155,9 @@ class Graph:
             lists = np.full((len(part), max(wide, degree)), -1, np.int32)
             lists[:, :degree] = self.neighbours[nodes[part]]
             for row, i in enumerate(part):
-                lists[row, held[i] : held[i] + counts[i]] = sources[starts[i] : starts[i] + counts[i]]
+                new = sources[starts[i] : starts[i] + counts[i]]
+                new = new[~np.isin(new, lists[row, : held[i]])]
+                lists[row, held[i] : held[i] + len(new)] = new
             self.neighbours[nodes[part]] = lists if wide <= degree else self.prune(nodes[part], lists, alpha)
 
 
