@@ -25,8 +25,11 @@ def _frames(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _audit(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, windows and summary. Windows and sessions feed several artifacts, so they are kept (and spill to disk)."""
     imu, sessions, gps = _frames(spark, root)
-    return imu, audit.audit_windows(imu, sessions, gps), audit.audit_summary(imu, sessions, gps)
+    sessions = sessions.persist()
+    windows = audit.audit_windows(imu, sessions, gps).persist()
+    return imu, windows, audit.audit_summary(imu, sessions, gps, windows=windows).persist()
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:

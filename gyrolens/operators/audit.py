@@ -157,9 +157,10 @@ def audit_windows(imu: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: Audi
     return window_penalties(window_metrics(imu, sessions, cfg), sessions, gps_checks(imu, gps), cfg)
 
 
-def audit_summary(imu: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """One row for each session with all results of the audit."""
-    scores = session_scores(imu, audit_windows(imu, sessions, gps, cfg), sessions, gps_checks(imu, gps), cfg)
+def audit_summary(imu: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: AuditConfig = AuditConfig(), windows: DataFrame | None = None) -> DataFrame:
+    """One row for each session with all results of the audit (A18). windows: those of audit_windows, if they are at hand."""
+    windows = audit_windows(imu, sessions, gps, cfg) if windows is None else windows
+    scores = session_scores(imu, windows, sessions, gps_checks(imu, gps), cfg)
     stats = sampling.sampling_stats(imu, cfg.positive_deltas).select("session_id", "duration_s", "nominal_hz", "jitter_ms")
     stable = imu.groupBy("session_id").agg(F.stddev_pop("pressure_pa").alias("pressure_stability_pa"))
     parts = [stats, stable, sampling.gap_ratio(imu, cfg.gap_factor), sampling.freeze_ratio(imu).select("session_id", "freeze_ratio"), sampling.clipping_ratio(imu, sessions)]
