@@ -14,7 +14,7 @@ from tests.test_engine import recording
 
 def test_commands(spark, tmp_path):
     root, out = str(tmp_path / "sessions"), str(tmp_path / "out")
-    good, bad = recording(spark, 800, "good"), recording(spark, 800, "bad", t_ms=[10 * i + 40 * (i % 2) for i in range(800)])
+    good, bad = recording(spark, 800, "good"), recording(spark, 800, "bad", t_ms=[10 * i + 9 * (i % 2) for i in range(800)])
     readers.save_sessions({"imu": good.unionByName(bad)}, root)
     assert cli.main(["audit", root, "--out", out], spark) == 0
     batch = json.loads((tmp_path / "out" / "batch_summary.json").read_text())
