@@ -6,7 +6,7 @@ frequency of those. A text's language has the largest sum over all its words; th
 the posterior (equal priors).
 
 Training counts words and n-grams by aggregation over a bounded sample of labelled texts: all of them up to
-``max_train_rows``, beyond it those with the smallest hash of the text, in expectation as many. The ``max_words`` most frequent words and
+``max_train_rows``, beyond it those with the smallest hash of id and text, in expectation as many, so a group of copies is thinned like the rest. The ``max_words`` most frequent words and
 ``max_grams`` most frequent n-grams of each language are the model; languages are labels, so few. The model is
 broadcast, bounded by these parameters. Prediction reads nothing but the text, whole.
 
@@ -127,12 +127,12 @@ class Model:
         return found
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     n = labelled.count()
     if n > max_train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < int((1 << 32) * max_train_rows / n))
-    counts = labelled.mapInArrow(_partial_counts, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+        labelled = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < int((1 << 32) * max_train_rows / n))
+    counts = labelled.select("text", "lang").mapInArrow(_partial_counts, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     top = Window.partitionBy("lang", F.when(F.col("n") == 0, -1).otherwise(0)).orderBy(F.desc("c"), "n", "gram")
     kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
     return Model(kept.select("n", "gram", "lang", "c").toPandas().sort_values(["n", "gram", "lang"]))
