@@ -32,6 +32,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SAMPLE_ROWS = 400
+#: The sample that orders the rules holds no longer texts than this, which bounds what the driver gets. All texts are judged whole.
+SAMPLE_CHARS = 100_000
 WORDS = re.compile(WORD_PATTERN)
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -100,7 +102,7 @@ RULES: dict[str, Callable[[Page], bool]] = {
     "symbols_to_words": lambda p: 10 * p.n_symbols > len(p.words),
     "duplicate_lines": lambda p: 2 * p.n_dup_lines > len(p.lines),
     "words_without_letters": lambda p: 5 * sum(1 for w in p.words if not (w.isalpha() or LETTER.search(w))) > len(p.words),
-    "bullet_lines": lambda p: 10 * sum(1 for x in p.lines if x.lstrip()[:1] in "-*•‣") > 9 * len(p.lines),
+    "bullet_lines": lambda p: 10 * sum(1 for x in p.lines if WORDS.search(x)[0][0] in "-*•‣") > 9 * len(p.lines),
     "ellipsis_lines": lambda p: 10 * sum(1 for x in p.lines if x.rstrip().endswith(("...", "…"))) > 3 * len(p.lines),
     "stuttered_words": lambda p: 10 * sum(map(str.__eq__, p.words, p.words[1:])) > 3 * len(p.words),
     "one_word": lambda p: 5 * max(Counter(p.words).values()) > 2 * len(p.words),
@@ -131,7 +133,7 @@ def measure(texts: list[str], rules: dict[str, Callable[[Page], bool]] = RULES)
 
 def plan(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules in the order to run. The sample has a fixed bound and serves the order alone."""
-    texts = [r[0] for r in docs.select(text_col).where(F.col(text_col).isNotNull()).limit(sample_rows).collect()]
+    texts = [r[0] for r in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(sample_rows).collect()]
     return [c.rule for c in measure(texts)]
 
 

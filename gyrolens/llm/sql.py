@@ -68,7 +68,7 @@ b AS (SELECT doc_id, w, len(w) AS n_words, CAST(coalesce(list_sum(list_transform
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.5 * n_lines OR no_letter > 0.2 * n_words
-    OR len(list_filter(ls, lambda x: substr(ltrim(x), 1, 1) IN ('-', '*', '•', '‣'))) > 0.9 * n_lines
+    OR len(list_filter(ls, lambda x: substr(regexp_extract(x, '[^\x20\x09-\x0D]+'), 1, 1) IN ('-', '*', '•', '‣'))) > 0.9 * n_lines
     OR len(list_filter(ls, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) > 0.3 * n_lines
     OR stutter > 0.3 * n_words OR most > 0.4 * n_words) AS kept
 FROM f
