@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyrolens.llm.common import materialise
+
 MIN_COSINE = 0.75
 #: Notices of common licences (fixed values).
 TEMPLATES = (
@@ -149,4 +151,6 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["own", "score"])
 
     whole = F.coalesce(F.element_at(F.split(path_col, "/"), -1).rlike(LICENSE_FILE), F.lit(False))
-    return inherit(files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), scanned(F.col(text_col), whole).alias("s")).select("doc_id", "path", "s.own", "s.score"))
+    found = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), scanned(F.col(text_col), whole).alias("s"))
+    # Texts are scanned once; licence files and heirs are read from the written result.
+    return inherit(materialise(found.select("doc_id", "path", "s.own", "s.score"), "licences"))
