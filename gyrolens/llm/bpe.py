@@ -114,22 +114,31 @@ class BpeCodec:
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str):
         vocabulary = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
-        @F.arrow_udf("array<int>")
-        def encode(texts: pa.Array) -> pa.Array:
-            codec = _codec(vocabulary, pattern)
-            ids = [codec.encode(t) for t in texts.to_pylist()]
+        def as_lists(ids: list[np.ndarray]) -> pa.Array:
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             flat = np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
+        @F.arrow_udf("array<int>")
+        def encode(texts: pa.Array) -> pa.Array:
+            codec = _codec(vocabulary, pattern)
+            return as_lists([codec.encode(t.as_py()) for t in texts])
+
         @F.arrow_udf("binary")
         def decode(ids: pa.Array) -> pa.Array:
             codec = _codec(vocabulary, pattern)
             offsets, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
             return pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+        def round_trip(texts: pa.Array) -> pa.Array:
+            codec = _codec(vocabulary, pattern)
+            ids = [codec.encode(t.as_py()) for t in texts]
+            decoded = pa.array([codec.decode(x.tolist()) for x in ids], pa.binary())
+            return pa.StructArray.from_arrays([as_lists(ids), decoded], ["ids", "decoded"])
+
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column) -> Column:
         """Ids of a text, array<int>."""
@@ -138,3 +147,7 @@ class BpeCodec:
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids, binary."""
         return self._decode(F.coalesce(ids, F.array().cast("array<int>")))
+
+    def round_trip(self, text: Column) -> Column:
+        """Ids of a text and the bytes they decode to, struct<ids, decoded>: both in one Python worker of a task."""
+        return self._round_trip(F.coalesce(text, F.lit("")))

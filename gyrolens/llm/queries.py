@@ -27,12 +27,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_digests(docs: DataFrame) -> DataFrame:
     codec = BpeCodec(docs.sparkSession, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    return ids.select(
+    done = docs.select("doc_id", codec.round_trip(F.col("text")).alias("bpe"))
+    return done.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bpe.decoded", 256).alias("decoded_sha256"),
     )
 
 
