@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +28,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the operator's ids and bytes. They are taken in the worker that made these, so neither is sent to the JVM."""
+
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def digests(done: pa.Array) -> pa.Array:
+        ids, decoded = done.field("ids"), done.field("decoded")
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([len(x.values) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(str, x.values.to_pylist())).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
+            ],
+            ["n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
     codec = BpeCodec(docs.sparkSession, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    done = docs.select("doc_id", codec.round_trip(F.col("text")).alias("bpe"))
-    return done.select(
-        "doc_id",
-        F.size("bpe.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("bpe.decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", digests(codec.round_trip(F.col("text"))).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
