@@ -1,10 +1,13 @@
 """License scans (operator 9): sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Document frequencies of the templates' words are counted over all files. A file's header notice is looked for in every line:
-the line's TF-IDF vector (words that no template has weigh as words no file has) is compared with each template's, and the best
-cosine of at least ``min_cosine`` declares the licence. A file named as a licence file (LICENSE, COPYING, NOTICE, with any suffix)
-also compares its whole text, and declares the licence of its directory. Files that declare none inherit that of
-their nearest ancestor directory that has one: the distinct directories' ancestors are joined with those of licence files by path.
+Document frequencies of all words are counted over all files by aggregation and written. A file's header notice is looked for in every line:
+the line's TF-IDF vector is compared with each template's, and the best cosine of at least ``min_cosine`` declares the licence. A file named
+as a licence file (LICENSE, COPYING, NOTICE, with any suffix) also compares its whole text, and declares the licence of its directory. Files that
+declare none inherit that of their nearest ancestor directory that has one: the distinct directories' ancestors are joined with those of licence files by path.
+
+Workers know the frequencies of the templates' words only. With them they find the candidates: parts of a text whose cosine may reach the least one,
+and the text's best, whatever their other words weigh (1 at least, as words of all files; as words of one file at most). The other words of candidates are then
+joined with the written frequencies, so each has its true weight.
 
 Only counts of the templates' words reach the driver, a few hundred whatever the data.
 
@@ -18,7 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,11 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
+#: For rounding, where candidates are chosen.
+SLACK = 1e-9
+#: Distinct words that a task counts before it hands them on.
+PARTIAL_WORDS = 100_000
+CANDIDATES = pa.list_(pa.struct({"template": pa.int32(), "dot": pa.float64(), "square": pa.float64(), "outside": pa.list_(pa.struct({"word": pa.string(), "k": pa.int32()}))}))
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -55,62 +64,99 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+class Candidate(NamedTuple):
+    """A part of a text: its closest template, their scalar product, its square in template words, and its other words with their counts."""
+
+    template: int
+    dot: float
+    square: float
+    outside: tuple[tuple[str, int], ...]
+
+    def cosine(self, weight: Callable[[str], float]) -> float:
+        return self.dot / math.sqrt(self.square + sum((k * weight(w)) ** 2 for w, k in self.outside))
+
+
 class Scanner:
     """Templates with weights from document frequencies of their words over n files."""
 
     def __init__(self, frequencies: dict[str, int], n: int, templates=TEMPLATES, min_cosine: float = MIN_COSINE):
-        idf = lambda df: math.log((1 + n) / (1 + df)) + 1
+        self.idf = idf = lambda df: math.log((1 + n) / (1 + df)) + 1
+        self.frequencies = frequencies
         self.names, self.min_cosine = [name for name, _ in templates], min_cosine
         counts = [Counter(tokens(text)) for _, text in templates]
         self.ids = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
         self.weights = [idf(frequencies.get(w, 0)) for w in self.ids]
-        self.unknown = idf(0)
+        #: The most that a word of a file can weigh.
+        self.rarest = idf(1) if n else 1.0
         self.matrix = np.zeros((len(templates), len(self.ids)))
         for row, c in zip(self.matrix, counts):
             for w, k in c.items():
                 row[self.ids[w]] = k * self.weights[self.ids[w]]
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
 
-    def best(self, line: str) -> tuple[float, int] | None:
-        """Cosine and template of a line, if it is close enough to one."""
-        words = tokens(line)
+    def candidate(self, words: list[str]) -> Candidate | None:
+        """The closest template of a part of a text, if its cosine can be large enough."""
         known = Counter([w for w in words if w in self.ids])
         if not known:
             return None
         inside = {self.ids[w]: k * self.weights[self.ids[w]] for w, k in known.items()}
         square = sum(x * x for x in inside.values())
-        # Words outside add at least their number; a line that can't reach the cosine even if all inside fits is done.
-        if square < self.min_cosine**2 * (square + (len(words) - known.total()) * self.unknown**2):
+        # Words outside add at least their number; a part that can't reach the cosine even if all inside fits is done.
+        if square < (1 - SLACK) * self.min_cosine**2 * (square + len(words) - known.total()):
             return None
-        square += sum(k * k for w, k in Counter(words).items() if w not in self.ids) * self.unknown**2
+        outside = Counter([w for w in words if w not in self.ids])
         at = list(inside)
-        cosine = self.matrix[:, at] @ np.array([inside[i] for i in at]) / math.sqrt(square)
-        i = int(np.argmax(cosine))
-        return (float(cosine[i]), i) if cosine[i] >= self.min_cosine else None
+        dots = self.matrix[:, at] @ np.array([inside[i] for i in at])
+        i = int(np.argmax(dots))
+        found = Candidate(i, float(dots[i]), square, tuple(sorted(outside.items())))
+        return found if found.cosine(lambda w: 1.0) >= self.min_cosine * (1 - SLACK) else None
+
+    def best(self, line: str) -> tuple[float, int] | None:
+        """Cosine and template of a line, if it is close enough to one, by the frequencies at hand."""
+        found = self.candidate(tokens(line))
+        cosine = found.cosine(lambda w: self.idf(self.frequencies.get(w, 0))) if found else 0.0
+        return (cosine, found.template) if found and cosine >= self.min_cosine else None
 
-    def scan(self, text: str | None, whole: bool) -> tuple[str | None, float]:
-        found = [b for part in [*((text or "").split("\n")), *([text] if whole and text else [])] if (b := self.best(part))]
-        if not found:
-            return None, 0.0
-        cosine, i = max(found, key=lambda b: (b[0], -b[1]))
-        return self.names[i], cosine
+    def candidates(self, text: str | None, whole: bool) -> list[Candidate]:
+        """What may declare the text's licence: all whose cosine can be the largest one."""
+        parts = [*((text or "").split("\n")), *([text] if whole and text else [])]
+        found = dict.fromkeys(c for part in parts if (c := self.candidate(tokens(part))))
+        if len(found) < 2:
+            return list(found)
+        surely = max(c.cosine(lambda w: self.rarest) for c in found)
+        return [c for c in found if c.cosine(lambda w: 1.0) >= surely * (1 - SLACK)]
 
 
-def frequencies(files: DataFrame, text_col: str, templates=TEMPLATES) -> tuple[dict[str, int], int]:
-    """In how many files each word of the templates occurs, and the number of files."""
-    wanted = set().union(*(tokens(t) for _, t in templates))
+def frequencies(files: DataFrame, text_col: str) -> DataFrame:
+    """word, n: in how many files each word occurs; the word "" stands for all files."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, counts = 0, Counter()
+        counts = Counter()
+        rows = lambda: pa.record_batch({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n += 1
-                counts.update(wanted.intersection(tokens(text)) if text else ())
-        counts[""] = n
-        yield pa.record_batch({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
-
-    found = {r["word"]: r["n"] for r in files.select(text_col).mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return found, found.pop("", 0)
+                counts[""] += 1
+                counts.update(set(tokens(text)) if text else ())
+                if len(counts) > PARTIAL_WORDS:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    return files.select(text_col).mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def weigh(found: DataFrame, words: DataFrame, n: int, names: list[str], min_cosine: float) -> DataFrame:
+    """__row, own, score of the rows that declare a licence, from found's candidates (__row, c)."""
+    each = found.where(F.size("c") > 0).select("__row", F.posexplode("c").alias("__at", "c")).select("__row", "__at", "c.template", "c.dot", "c.square", F.explode_outer("c.outside").alias("o"))
+    idf = F.log((1 + n) / (1 + F.coalesce(F.col("n"), F.lit(0)))) + 1
+    cosine = F.first("dot") / F.sqrt(F.first("square") + F.coalesce(F.sum((F.col("o.k") * idf) ** 2), F.lit(0.0)))
+    return (
+        each.join(words, F.col("o.word") == F.col("word"), "left")
+        .groupBy("__row", "__at").agg(F.first("template").alias("template"), F.round(cosine, 12).alias("score"))
+        .where(F.col("score") >= min_cosine)
+        .groupBy("__row").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b"))
+        .select("__row", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("b.template") + 1).alias("own"), (-F.col("b.s")).alias("score"))
+    )
 
 
 def _parent(path: Column) -> Column:
@@ -142,15 +188,23 @@ def inherit(files: DataFrame) -> DataFrame:
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", templates=TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """doc_id, path, own (licence the file declares), score, license, license_dir for each row of files."""
-    counts, n = frequencies(files, text_col, templates)
+    words = materialise(frequencies(files, text_col), "words")
+    wanted = sorted({"", *(w for _, t in templates for w in tokens(t))})
+    counts = {r["word"]: r["n"] for r in words.where(F.col("word").isin(wanted)).collect()}
+    n = counts.pop("", 0)
     scanner = Scanner(counts, n, templates, min_cosine)
 
-    @F.arrow_udf("struct<own:string,score:double>")
+    @F.arrow_udf("array<struct<template:int,dot:double,square:double,outside:array<struct<word:string,k:int>>>>")
     def scanned(texts: pa.Array, whole: pa.Array) -> pa.Array:
-        rows = [scanner.scan(t, bool(w)) for t, w in zip(texts.to_pylist(), whole.to_pylist())]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["own", "score"])
+        rows = [
+            [{"template": c.template, "dot": c.dot, "square": c.square, "outside": [{"word": w, "k": k} for w, k in c.outside]} for c in scanner.candidates(t, bool(w))]
+            for t, w in zip(texts.to_pylist(), whole.to_pylist())
+        ]
+        return pa.array(rows, CANDIDATES)
 
     whole = F.coalesce(F.element_at(F.split(path_col, "/"), -1).rlike(LICENSE_FILE), F.lit(False))
-    found = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), scanned(F.col(text_col), whole).alias("s"))
-    # Texts are scanned once; licence files and heirs are read from the written result.
-    return inherit(materialise(found.select("doc_id", "path", "s.own", "s.score"), "licences"))
+    found = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), scanned(F.col(text_col), whole).alias("c"), F.monotonically_increasing_id().alias("__row"))
+    # Texts are scanned once; candidates, licence files and heirs are read from written results.
+    found = materialise(found, "candidates")
+    own = found.join(weigh(found, words, n, scanner.names, min_cosine), "__row", "left").select("doc_id", "path", "own", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return inherit(materialise(own, "licences"))

@@ -283,6 +283,21 @@ def test_cosine_matches_brute_force():
         assert (found is None) == (best < 0.3) and (found is None or abs(found[0] - best) < 1e-9)
 
 
+def test_common_words_outside_the_templates_weigh_little(spark):
+    """Scores by brute force with true frequencies; with the weight of words of no file the first file's was too small."""
+    texts = ["Released under the MIT License. Les des.", "Released under the MIT License. Zyx qwv.", *["les des mots the under"] * 60, *["autre texte license released"] * 60]
+    df = spark.createDataFrame([(i, f"d{i}/f.py", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own, r.score) for r in license_scan.scan_licenses(df).collect()}
+    count = Counter(w for t in texts for w in set(license_scan.tokens(t)))
+    scanner = license_scan.Scanner(count, len(texts))
+    assert got[0][0] == "MIT" and all(own is None for i, (own, _) in got.items() if i > 1)
+    for i in (0, 1):
+        want = scanner.best(texts[i])
+        assert (got[i][0] is None) == (want is None) and (want is None or abs(got[i][1] - want[0]) < 1e-9)
+    old = license_scan.Scanner({w: n for w, n in count.items() if w in scanner.ids}, len(texts))
+    assert old.best(texts[0]) is None
+
+
 # 10
 
 
