@@ -1,8 +1,8 @@
 """License scans (operator 9): sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Document frequencies of all words are counted over all files by aggregation and written. A file's header notice is looked for in every line:
-the line's TF-IDF vector is compared with each template's, and the best cosine of at least ``min_cosine`` declares the licence. A file named
-as a licence file (LICENSE, COPYING, NOTICE, with any suffix) also compares its whole text, and declares the licence of its directory. Files that
+Document frequencies of all words are counted over all files by aggregation and written. A file's header notice is looked for in every line
+and in every run of as many words as a template has, over the whole text, so it may be wrapped or stand within a longer one: the part's TF-IDF vector
+is compared with each template's, and the best cosine of at least ``min_cosine`` declares the licence. A file named as a licence file (LICENSE, COPYING, NOTICE, with any suffix) also compares its whole text, and declares the licence of its directory. Files that
 declare none inherit that of their nearest ancestor directory that has one: the distinct directories' ancestors are joined with those of licence files by path.
 
 Workers know the frequencies of the templates' words only. With them they find the candidates: parts of a text whose cosine may reach the least one,
@@ -32,6 +32,13 @@ from pyspark.sql import functions as F
 from gyrolens.llm.common import materialise
 
 MIN_COSINE = 0.75
+#: Names, kinds and versions of the GNU licences, whose headers differ in these only.
+GNU = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
+GNU_TERMS = (
+    "you can redistribute it and/or modify it under the terms of the GNU",
+    "General Public License as published by the Free Software Foundation, either version",
+    "of the License, or (at your option) any later version.",
+)
 #: Notices of common licences (fixed values).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -41,7 +48,9 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    *((name, f"This {what} is free software: {GNU_TERMS[0]} {kind}{GNU_TERMS[1]} {version} {GNU_TERMS[2]}") for what in ("program", "library") for name, kind, version in GNU),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("BSD-2-Clause", "the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -49,6 +58,7 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
@@ -84,6 +94,7 @@ class Scanner:
         self.frequencies = frequencies
         self.names, self.min_cosine = [name for name, _ in templates], min_cosine
         counts = [Counter(tokens(text)) for _, text in templates]
+        self.lengths = [c.total() for c in counts]
         self.ids = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
         self.weights = [idf(frequencies.get(w, 0)) for w in self.ids]
         #: The most that a word of a file can weigh.
@@ -117,10 +128,40 @@ class Scanner:
         cosine = found.cosine(lambda w: self.idf(self.frequencies.get(w, 0))) if found else 0.0
         return (cosine, found.template) if found and cosine >= self.min_cosine else None
 
+    def viable(self, words: list[str]) -> list[int]:
+        """Templates of which the words hold enough: no part's cosine exceeds the norm of the template in the words there are."""
+        at = [i for w in set(words) if (i := self.ids.get(w)) is not None]
+        return np.flatnonzero((self.matrix[:, at] ** 2).sum(axis=1) >= (1 - SLACK) * self.min_cosine**2).tolist()
+
+    def windows(self, words: list[str], near: list[int]) -> Iterator[Candidate]:
+        """Candidates among the runs of words as long as a template, whatever the lines."""
+        ids = np.array([self.ids.get(w, -1) for w in words])
+        weights = np.array([*self.weights, 1.0])  # at -1: words outside add 1 to the square at least
+        square = np.concatenate([[0], np.cumsum(weights[ids] ** 2)])
+        inside = np.append(self.matrix, np.zeros((len(self.matrix), 1)), axis=1) * weights
+        surely = 0.0
+        for t in near:
+            n = min(self.lengths[t], len(words))
+            dot = np.concatenate([[0], np.cumsum(inside[t][ids])])
+            # Repeated words have a larger square than this, so no cosine is larger.
+            most = (dot[n:] - dot[:-n]) / np.sqrt(square[n:] - square[:-n])
+            hits = np.flatnonzero(most >= self.min_cosine * (1 - SLACK))
+            for i in hits[np.argsort(-most[hits], kind="stable")].tolist():
+                if most[i] < surely * (1 - SLACK):
+                    break
+                if c := self.candidate(words[i : i + n]):
+                    surely = max(surely, c.cosine(lambda w: self.rarest))
+                    yield c
+
     def candidates(self, text: str | None, whole: bool) -> list[Candidate]:
         """What may declare the text's licence: all whose cosine can be the largest one."""
-        parts = [*((text or "").split("\n")), *([text] if whole and text else [])]
-        found = dict.fromkeys(c for part in parts if (c := self.candidate(tokens(part))))
+        words = tokens(text) if text else []
+        near = self.viable(words)
+        if not near:
+            return []
+        parts = [tokens(line) for line in text.split("\n")] + [words] * whole
+        found = dict.fromkeys(c for part in parts if (c := self.candidate(part)))
+        found |= dict.fromkeys(self.windows(words, near))
         if len(found) < 2:
             return list(found)
         surely = max(c.cosine(lambda w: self.rarest) for c in found)
