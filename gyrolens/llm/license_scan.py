@@ -32,6 +32,12 @@ from pyspark.sql import functions as F
 from gyrolens.llm.common import materialise
 
 MIN_COSINE = 0.75
+#: The Creative Commons family: codes and names, versions and how they are called.
+CC = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
 #: Names, kinds and versions of the GNU licences, whose headers differ in these only.
 GNU = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
 GNU_TERMS = (
@@ -54,8 +60,7 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((f"CC-{code}-{version}", text) for code, name in CC for version, port in CC_VERSIONS for text in (f"This work is licensed under a Creative Commons {name} {version} {port} License.", f"Licensed under CC {code} {version}.")),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("ISC", "Licensed under the ISC License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),

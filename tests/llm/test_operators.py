@@ -350,6 +350,18 @@ def test_wrapped_headers_and_licence_files(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(texts)}
 
 
+def test_creative_commons_family_and_notices_of_the_table(spark):
+    texts = [(t, name) for name, t in license_scan.TEMPLATES if name.startswith("CC-BY")]
+    assert {"CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"} <= {name for _, name in texts}
+    # The distinct notices of the documents table that name a licence.
+    texts += [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0")]
+    prose = [(words(i, 40), None) for i in range(400)]
+    df = spark.createDataFrame([(i, f"MIT/{i}/f.py", f"{words(i, 30)}\n{t}") for i, (t, _) in enumerate(texts + prose)] + [(-1, "MIT/LICENSE", "Released under the MIT License.")], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own, r.license) for r in license_scan.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [(want, want) for _, want in texts]
+    assert all(got[i] == (None, "MIT") for i in range(len(texts), len(texts + prose)))
+
+
 # 10
 
 
