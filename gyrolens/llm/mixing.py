@@ -28,6 +28,8 @@ MAX_REPEATS = 3
 SEED = "mix-1"
 #: Hex digits of the order hash that name a range of a source's queue.
 RANGE_DIGITS = 3
+#: Entries that finish later are never taken: every source has its target at 1, and the cut falls close to it.
+LATEST = 2
 
 
 def sized_queue(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> DataFrame:
@@ -71,8 +73,8 @@ def targets(queue: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
 
 def _finish(passed: Column) -> Column:
-    """Virtual finish time of the document in a pass (from 0)."""
-    return (passed * F.col("source_size") + F.col("__cum")).cast("double") / F.col("target")
+    """Virtual finish time of the document in a pass (from 0); null where the target is 0."""
+    return F.try_divide((passed * F.col("source_size") + F.col("__cum")).cast("double"), F.col("target"))
 
 
 def mix_sources(
@@ -109,7 +111,7 @@ def mix_sources(
         placed.where(F.col("target") > 0)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
         .withColumn("finish", _finish(F.col("pass")))
-        .where(F.col("finish") <= 2)  # every source has its target at 1, and the cut falls close to it
+        .where(F.col("finish") <= LATEST)
         .select("doc_id", "source", "size", *order)
     )
     ranged = materialise(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()), "mix")
@@ -123,8 +125,8 @@ def mix_sources(
         first_out = inside.where(F.col("__run") > at[0]["left"]).agg(F.min(ordinal).alias("cut")).collect()[0]["cut"]
         cut = F.struct(*[F.lit(first_out[c]).cast(t).alias(c) for c, t in ((c, ranged.schema[c].dataType) for c in order)])
         in_mix = lambda key: key < cut
-    else:
-        in_mix = lambda key: F.lit(True)
+    else:  # all entries fit, but the late ones, which documents have too, are none
+        in_mix = lambda key: key["finish"] <= LATEST
     passes = sum(
         (F.when((F.col("target") > 0) & in_mix(F.struct(_finish(F.lit(p)).alias("finish"), "__rank", F.lit(p).alias("pass"), "__h", "__pos")), 1).otherwise(0) for p in range(max_repeats)),
         F.lit(0),

@@ -116,6 +116,14 @@ def test_mixing(spark):
     assert {r.taken for r in mixing.mix_sources(table(spark, [(1, None, "a"), (2, "", None)]))[0].collect()} == {0}
 
 
+def test_mixing_leaves_out_a_giant_document(spark):
+    rows = [(i, words(i, 10), "a") for i in range(10)] + [(10, words(10, 300), "b")]
+    documents, mix = mixing.mix_sources(table(spark, rows))
+    taken = {r.doc_id: r.taken for r in documents.collect()}
+    assert taken == {i: 30 for i in range(10)} | {10: 0}
+    assert mix.agg(F.sum("size")).first()[0] == sum(taken.values()) <= 400
+
+
 # 4
 
 
