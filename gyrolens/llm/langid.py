@@ -6,7 +6,8 @@ frequency of those. A text's language has the largest sum over all its words; th
 the posterior (equal priors).
 
 Training counts words and n-grams by aggregation over a bounded sample of labelled texts: all of them up to
-``max_train_rows``, beyond it those with the smallest hash of id and text, in expectation as many, so a group of copies is thinned like the rest. The ``max_words`` most frequent words and
+``max_train_rows``, beyond it those of each language with the smallest hash of id and text, in expectation as many in all, so a group of copies is thinned like the rest.
+Languages have equal shares of the sample, a small one all its rows, and each at least one, so every labelled language is learned. The ``max_words`` most frequent words and
 ``max_grams`` most frequent n-grams of each language are the model; languages are labels, so few. The model is
 broadcast, bounded by these parameters. Prediction reads nothing but the text, whole.
 
@@ -127,11 +128,24 @@ class Model:
         return found
 
 
+def sample_limits(groups: dict[str, tuple[int, int]], max_train_rows: int) -> dict[str, int]:
+    """Where each language's sample ends, of places below 2**32, from its number of rows and its first place. Equal shares; what small languages leave goes to the others."""
+    left, limits = max_train_rows, {}
+    for i, (lang, (n, first)) in enumerate(sorted(groups.items(), key=lambda g: (g[1][0], g[0]))):
+        share = min(n, left / (len(groups) - i))
+        left -= share
+        limits[lang] = max(int((1 << 32) * share / n), first + 1)  # one row at least
+    return limits
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     n = labelled.count()
     if n > max_train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < int((1 << 32) * max_train_rows / n))
+        place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32))
+        groups = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).collect()
+        limits = sample_limits({r["lang"]: (r["n"], r["first"]) for r in groups}, max_train_rows)
+        labelled = labelled.where(place < F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")))
     counts = labelled.select("text", "lang").mapInArrow(_partial_counts, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     top = Window.partitionBy("lang", F.when(F.col("n") == 0, -1).otherwise(0)).orderBy(F.desc("c"), "n", "gram")
     kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))

@@ -147,6 +147,18 @@ def test_language_edges(spark):
     assert two.rows_of("the") == [two.tables[0]["the"]] and two.rows_of("lex") == [two.tables[3]["^le"]] and two.rows_of("qz") == [two.tables[1]["z"]] and two.rows_of("q") == [0]
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, words(i, 5), "en") for i in range(2000)] + [(3000 + i, f"qa{i} qo", "xx") for i in range(3)] + [(None, "zu zo", "yy")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
+    uniform = docs.where(place < int((1 << 32) * 50 / len(rows)))
+    assert {r.lang for r in uniform.collect()} == {"en"}
+    model = langid.train(docs, max_train_rows=50)
+    assert model.langs == ["en", "xx", "yy"] and model.predict(["qa1 qo", "zu"])[0][0] == "xx"
+    limits = langid.sample_limits({"a": (10, 5), "b": (10_000, 7), "c": (10_000, 1 << 31)}, 110)
+    assert limits == {"a": 1 << 32, "b": (1 << 32) * 50 // 10_000, "c": (1 << 31) + 1}
+
+
 # 5
 
 
