@@ -1,4 +1,4 @@
-"""Ranking, comparison and validation of audited sessions."""
+"""Ranking, comparison and validation of audited sessions (W13, G1, G2, G5, G10, J3, J4, T4, V1-V5, V8, and of V6 and V7 what concerns the trust score)."""
 
 from __future__ import annotations
 
