@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification (operator 10).
+"""N-gram Jaccard join by MinHash LSH with fixed banding, with exact verification (operator 10).
 
 1. Each text becomes its set of word five-grams (64-bit hashes); texts with equal sets are one node, known by the set's hash.
-2. A forest of ``trees`` tries holds MinHash signatures of up to ``max_depth`` values. The matched prefix is shortened
-   from max_depth until pairs at the threshold meet in some trie with the target recall. A trie's subtree at that depth is a
-   group of equal prefixes; it is linked as a star around its smallest node, never as pairs.
-3. Components of these stars are candidate clusters; two nodes that share any subtree are in one cluster.
+2. MinHash with fixed banding: each of ``trees`` bands has as many values as depth_for() gives, the most (up to ``max_depth``)
+   at which pairs at the threshold meet in some band with the target recall. It is computed before any data are seen; prefixes aren't
+   shortened for single nodes, as an LSH forest would. Nodes of equal band are linked as a star around the smallest, never as pairs.
+3. Components of these stars are candidate clusters; two nodes that share any band are in one cluster.
 4. Within a cluster all pairs are verified exactly on the sets, in blocks of at most ``block`` nodes; clusters of more are dealt over
    tasks as pairs of blocks. Only sums and a spanning forest leave a block: one row for each node, not for each pair.
 5. Components of the verified links are the classes.
