@@ -3,7 +3,7 @@
 Every source is a queue of its documents in an order given by a hash, repeated for up to ``max_repeats`` passes. A
 document's virtual finish time is the number of its source's words up to and with it, over all passes, divided by
 the source's target. All entries are range-sorted by finish time over all sources, and the mix is cut where the
-running total of words would exceed the budget.
+running total of words would exceed the budget. Every entry of every pass is sorted, so a source of few giant documents is cut as any other.
 
 Both running totals are sums in two levels, so that neither a source with most of the rows nor the whole mix lands
 in one task: a source's order is cut into 4096 ranges of its hash, whose totals are summed first; the global order
@@ -28,8 +28,8 @@ MAX_REPEATS = 3
 SEED = "mix-1"
 #: Hex digits of the order hash that name a range of a source's queue.
 RANGE_DIGITS = 3
-#: Entries that finish later are never taken: every source has its target at 1, and the cut falls close to it.
-LATEST = 2
+#: Entries of the cut's range that one task may sum row by row; a range of more is cut into ranges again.
+CUT_ROWS = 1 << 20
 
 
 def sized_queue(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> DataFrame:
@@ -77,6 +77,27 @@ def _finish(passed: Column) -> Column:
     return F.try_divide((passed * F.col("source_size") + F.col("__cum")).cast("double"), F.col("target"))
 
 
+def _first_out(ranged: DataFrame, order: list[str], budget: int) -> Column | None:
+    """The place of the first entry with which the running total exceeds the budget; null if all fit.
+
+    One row for each range is summed; the range with the cut is cut into ranges again until one task can sum its entries.
+    """
+    left, part = budget, ranged
+    while True:
+        totals = part.groupBy("__pid").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).withColumn("upto", F.sum("n").over(Window.orderBy("__pid")))
+        at = totals.where(F.col("upto") > left).orderBy("__pid").limit(1).collect()
+        if not at:
+            return None
+        left -= at[0]["upto"] - at[0]["n"]
+        inside = part.where(F.col("__pid") == at[0]["__pid"]).drop("__pid")
+        if at[0]["rows"] <= CUT_ROWS:
+            break
+        part = materialise(inside.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "cut")
+    run = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = inside.withColumn("__run", run).where(F.col("__run") > left).agg(F.min(F.struct(*order)).alias("cut")).first()["cut"]
+    return F.struct(*[F.lit(first[c]).cast(ranged.schema[c].dataType).alias(c) for c in order])
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -89,7 +110,8 @@ def mix_sources(
     """(documents, mix).
 
     documents has a row for each row of docs: doc_id, source, size, source_size, target, taken, passes.
-    mix has a row for each entry of the cut mix, range-partitioned and sorted by finish: doc_id, source, size, pass, finish.
+    mix has a row for each entry of the cut mix, range-partitioned and sorted by finish: doc_id, source, size, pass, finish, part, place (range and
+    order within it, a struct).
     """
     spark = docs.sparkSession
     queue = materialise(sized_queue(docs, id_col, source_col, text_col, seed).withColumn("__range", F.substring("__h", 1, RANGE_DIGITS)), "queue")
@@ -111,25 +133,16 @@ def mix_sources(
         placed.where(F.col("target") > 0)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
         .withColumn("finish", _finish(F.col("pass")))
-        .where(F.col("finish") <= LATEST)
         .select("doc_id", "source", "size", *order)
     )
     ranged = materialise(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()), "mix")
-    # One row for each range partition; then the cut's own partition alone is summed row by row.
-    totals = ranged.groupBy("__pid").agg(F.sum("size").alias("n"), F.min("finish").alias("lo")).withColumn("upto", F.sum("n").over(Window.orderBy("__pid")))
     budget = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget")).first()["budget"]
-    at = totals.where(F.col("upto") > budget).orderBy("__pid").limit(1).select("__pid", (budget - (F.col("upto") - F.col("n"))).alias("left")).collect()
+    cut = _first_out(ranged, order, budget)
     ordinal = F.struct(*order)
-    if at:  # the last entry that still fits
-        inside = ranged.where(F.col("__pid") == at[0]["__pid"]).withColumn("__run", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        first_out = inside.where(F.col("__run") > at[0]["left"]).agg(F.min(ordinal).alias("cut")).collect()[0]["cut"]
-        cut = F.struct(*[F.lit(first_out[c]).cast(t).alias(c) for c, t in ((c, ranged.schema[c].dataType) for c in order)])
-        in_mix = lambda key: key < cut
-    else:  # all entries fit, but the late ones, which documents have too, are none
-        in_mix = lambda key: key["finish"] <= LATEST
+    in_mix = (lambda key: key < cut) if cut is not None else (lambda key: F.lit(True))
     passes = sum(
         (F.when((F.col("target") > 0) & in_mix(F.struct(_finish(F.lit(p)).alias("finish"), "__rank", F.lit(p).alias("pass"), "__h", "__pos")), 1).otherwise(0) for p in range(max_repeats)),
         F.lit(0),
     )
     documents = placed.withColumn("passes", passes).select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size")).cast("long").alias("taken"), "passes")
-    return documents, ranged.where(in_mix(ordinal)).select("doc_id", "source", "size", "pass", "finish")
+    return documents, ranged.where(in_mix(ordinal)).select("doc_id", "source", "size", "pass", "finish", F.col("__pid").alias("part"), ordinal.alias("place"))

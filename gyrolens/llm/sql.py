@@ -28,7 +28,7 @@ t AS (SELECT nosrc, src, source_size, rnk, CASE WHEN capped THEN CAST(cap AS DOU
 p AS (SELECT doc_id, size, source_size, target, rnk, h, row_number() OVER o AS pos, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS cum
   FROM q JOIN t USING (nosrc, src) WINDOW o AS (PARTITION BY nosrc, src ORDER BY h, doc_id NULLS FIRST, size)),
 e AS (SELECT p.*, n.pass, CAST(n.pass * source_size + cum AS DOUBLE) / target AS finish FROM p, (VALUES (0), (1), (2)) AS n(pass) WHERE target > 0),
-m AS (SELECT *, sum(size) OVER (ORDER BY finish, rnk, pass, h, pos ROWS UNBOUNDED PRECEDING) AS run, (SELECT sum(source_size) FROM s) AS budget FROM e WHERE finish <= 2),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish, rnk, pass, h, pos ROWS UNBOUNDED PRECEDING) AS run, (SELECT sum(source_size) FROM s) AS budget FROM e),
 k AS (SELECT rnk, h, pos, count(*) AS n FROM m WHERE run <= budget GROUP BY rnk, h, pos)
 SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) * size AS BIGINT) AS taken FROM p LEFT JOIN k USING (rnk, h, pos)
 """
