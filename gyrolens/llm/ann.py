@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by robust-pruned directed graphs (operator 7).
 
-Vectors are dealt to shards of about ``shard_rows`` rows by their id, so neither the table nor a group of equal vectors
-lands in one task. A shard collapses equal vectors to one node with all their ids and builds a graph: in random
+Vectors are dealt to shards by their id, so neither the table nor a group of equal vectors lands in one task. The number of
+shards grows as the square root of the number of rows, one up to ``shard_rows`` of them, or faster where vectors of a shard would exceed
+``shard_bytes``; every shard has a task of its own. A shard collapses equal vectors to one node with all their ids and builds a graph: in random
 order, in batches that grow with the graph and then once more over all, a greedy search for each node proposes what it visits as neighbours; robust
 pruning with a relaxed distance keeps the nearest and drops what a kept neighbour is closer to by the factor ``alpha``;
 kept edges are also added backwards, and lists that grow too long are pruned in the same way. Every query is searched in every
 shard by beam search; distances of what the beams hold are then taken exactly on the original vectors, in double
 precision, and the best of all shards are merged.
 
-Queries stream through a shard's task in blocks, so memory is bounded by one shard and one block.
+Within a shard vectors are doubles about their componentwise median, so neither a common offset nor a few huge values cost
+precision. Queries stream through a shard's task in blocks, so memory is bounded by one shard and one block.
 
 Defined results: rows with a null id, or a vector that is null, empty, zero or holds null or non-finite components,
 take no part. Only vectors of the query's dimension are its candidates. Rows with the query's id are its own and
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from gyrolens.llm.common import materialise
 
 SHARD_ROWS = 8192
+#: Bytes of a shard's vectors at most.
+SHARD_BYTES = 256 << 20
 DEGREE = 32
 BUILD_BEAM = 48
-SEARCH_BEAM = 96
+SEARCH_BEAM = 192
 ALPHA = 1.2
 #: Nodes expanded at once in a search.
 WIDTH = 4
@@ -43,18 +47,17 @@ FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
 
 class Graph:
-    """Nodes with vectors (float32, scaled), out-neighbours (-1: none) and a start node."""
+    """Nodes with vectors (about a centre), out-neighbours (-1: none) and a start node."""
 
     def __init__(self, vectors: np.ndarray, neighbours: np.ndarray | None = None, degree: int = DEGREE):
-        scale = np.abs(vectors).max() if vectors.size else 1.0
-        self.scale = scale
-        self.x = (vectors / scale).astype(np.float32)
+        self.centre = np.median(vectors, axis=0) if len(vectors) else np.zeros(vectors.shape[1])
+        self.x = vectors - self.centre
         self.norms = np.einsum("nd,nd->n", self.x, self.x)
-        self.start = int(np.argmin(self._to(self.x.mean(axis=0, dtype=np.float64).astype(np.float32)))) if len(vectors) else 0
+        self.start = int(np.argmin(self.norms)) if len(vectors) else 0
         self.neighbours = np.full((len(vectors), degree), -1, np.int32) if neighbours is None else neighbours
 
-    def _to(self, q: np.ndarray) -> np.ndarray:
-        return self.norms - 2 * (self.x @ q)
+    def about(self, q: np.ndarray) -> np.ndarray:
+        return q - self.centre
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search for a block of queries: ids and squared distances (-1 and inf: none), nearest first."""
@@ -62,7 +65,7 @@ class Graph:
         rows = np.arange(b)
         qn = np.einsum("bd,bd->b", q, q)
         ids = np.full((b, beam), -1, np.int32)
-        dist = np.full((b, beam), np.inf, np.float32)
+        dist = np.full((b, beam), np.inf)
         done = np.ones((b, beam), bool)
         seen = np.zeros((b, n + 1), bool)  # the last column stands for "none"
         seen[:, n] = True
@@ -85,7 +88,7 @@ class Graph:
                 new, ok = np.take_along_axis(near, at, 1), np.take_along_axis(fresh, at, 1)
                 safe = np.where(ok, new, 0)
                 d = qn[rows, None] + self.norms[safe] - 2 * np.matmul(self.x[safe], q[rows][:, :, None])[:, :, 0]
-                d[~ok] = np.inf
+                d[~ok | np.isnan(d)] = np.inf  # squares of huge values overflow
                 all_d = np.concatenate([dist[rows], d], axis=1)
                 order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
                 dist[rows] = np.take_along_axis(all_d, order, 1)
@@ -101,7 +104,7 @@ class Graph:
         safe = np.where(bad, 0, candidates)
         v = self.x[safe]
         own = self.norms[nodes][:, None] + self.norms[safe] - 2 * np.matmul(v, self.x[nodes][:, :, None])[:, :, 0]
-        own[bad] = np.inf
+        own[bad | np.isnan(own)] = np.inf
         order = np.argsort(own, axis=1, kind="stable")
         own, safe = np.take_along_axis(own, order, 1), np.take_along_axis(safe, order, 1)
         v = self.x[safe]
@@ -179,10 +182,12 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.
 
 def _distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Ids of each distinct vector, ascending, and the distinct vectors. One vector, the smallest, for each id."""
-    by = np.lexsort([*vectors.T[::-1], ids])
+    by = np.argsort(ids, kind="stable")
     ids, vectors = ids[by], vectors[by]
     first = np.concatenate([[True], ids[1:] != ids[:-1]])
-    ids, vectors = ids[first], vectors[first]
+    if not first.all():
+        by = np.lexsort([*vectors.T[::-1], ids])
+        ids, vectors = ids[first], vectors[by][first]
     unique, inverse = np.unique(vectors, axis=0, return_inverse=True)
     inverse = inverse.ravel()
     by = np.argsort(inverse, kind="stable")
@@ -249,7 +254,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa
         ids, vectors = [x[0] for x in rows.column(3).to_pylist()], _arrays(rows.column(4))
         for a in range(0, len(ids), BLOCK):
             q = vectors[a : a + BLOCK]
-            found, _ = shard.graph.search((q / shard.graph.scale).astype(np.float32), max(beam, k + 1))
+            found, _ = shard.graph.search(shard.graph.about(q), max(beam, k + 1))
             out = [(own, *x) for own, v, nodes in zip(ids[a : a + BLOCK], q, found) for x in shard.nearest(own, v, nodes[nodes >= 0], k)]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
@@ -268,10 +273,20 @@ def _key(n_shards: int, shard: Column) -> Column:
     return F.size("vector").cast("long") * n_shards + shard
 
 
+def _a_task_each(rows: DataFrame, n_shards: int) -> DataFrame:
+    """Rows by shard, each shard in a partition of its own."""
+    return rows.repartitionById(n_shards, F.pmod("shard", F.lit(n_shards)).cast("int"))
+
+
+def shards_for(n: int, components: int, shard_rows: int, shard_bytes: int) -> int:
+    """Shards for n vectors with so many components in all. Each query goes to each shard, so they grow more slowly than n."""
+    return max(1, math.ceil(math.sqrt(n / shard_rows)), math.ceil(8 * components / shard_bytes))
+
+
 def build_index(vectors: DataFrame, n_shards: int) -> DataFrame:
     """A row for each distinct vector of a shard (see INDEX_SCHEMA), written to the shared folder."""
     dealt = vectors.select(_key(n_shards, F.pmod(F.xxhash64("vec_id"), F.lit(n_shards))).alias("shard"), F.lit(0).alias("kind"), "vec_id", "vector")
-    return materialise(dealt.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX_SCHEMA), "graph")
+    return materialise(_a_task_each(dealt, n_shards).sortWithinPartitions("shard").mapInArrow(_build, INDEX_SCHEMA), "graph")
 
 
 def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -280,14 +295,15 @@ def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int = 10, bea
     dealt = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).select(
         _key(n_shards, F.col("s")).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("node"), F.array("vec_id").alias("vec_ids"), "vector", F.array().cast("array<int>").alias("neighbours")
     )
-    both = index.unionByName(dealt).repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    both = _a_task_each(index.unionByName(dealt), n_shards).sortWithinPartitions("shard", "kind")
     found = both.mapInArrow(lambda batches: _search(batches, k, beam), FOUND_SCHEMA)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Indexes every valid row of df and searches those for which is_query holds."""
     vectors = valid_vectors(df, id_col, vector_col)
-    n_shards = max(1, math.ceil(vectors.count() / shard_rows))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("components")).first()
+    n_shards = shards_for(size["n"], size["components"], shard_rows, shard_bytes)
     return search(build_index(vectors, n_shards), valid_vectors(df.where(is_query), id_col, vector_col), n_shards, k)
