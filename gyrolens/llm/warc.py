@@ -1,19 +1,21 @@
 """WARC archives and their capture index (operator 6).
 
 Writing: a record for each page. Of records with equal payloads of at least ``min_revisit_bytes`` bytes, the one with
-the smallest page_id is a response, the others are revisits that name it and carry no payload. Records are rows of Spark's
-text writer, with the record's closing CRLF CRLF as line separator, so archives land in any file system Spark can
+the smallest page_id is a response, the others are revisits that name it and carry no payload. Smaller payloads take no part in that
+join. Each record is a gzip member of its own, so its offset in the archive is where to begin reading. Members are rows of Spark's
+text writer, with an empty member between them as the line separator, so archives land in any file system Spark can
 write to, under its commit protocol.
 
-Reading: archives are read back as files and parsed by Content-Length. Each archive gives a run of index entries,
-sorted by URL key and timestamp. The index is an external merge: runs are range-partitioned by URL key,
-timestamp and page, and every partition merges its k runs with a loser tree, which gives capture histories in global
-order. A URL with most of the captures is split over partitions by time.
+Reading: archives are read back as files, member by member, and records are parsed by Content-Length. Each archive gives a run of
+index entries, sorted by URL key and timestamp; runs are written once. The index is an external merge: runs are range-partitioned by URL key,
+timestamp and page, into ranges of about ``merge_rows`` entries, which is what a task holds, and every range merges its parts of the k runs
+with a loser tree, which gives capture histories in global order. A URL with most of the captures is split over ranges by time.
 
 Defined results: null html is an empty payload; payloads below the size are always responses. Rows that repeat
 the smallest page_id of a payload are the same capture and all responses. A null page_id is written as an empty
 header field and read back as null; it comes after all others, and if only such rows hold a payload, all are responses. A null
-url is written as an empty target. Timestamps are those given, or else derived from page_id. Empty tables give no rows.
+url is written as an empty target. Timestamps are those given, or else derived from page_id, a second later for each page and beginning
+again after 2**30 pages; they are written in UTC whatever the session's time zone, years 1 to 9999. Empty tables give no rows.
 Extra columns are not read.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrolens.llm.common import new_path
+from gyrolens.llm.common import materialise, new_path
 
 #: Fixed values of the format.
 CRLF = "\r\n"
@@ -37,10 +40,17 @@ RECORD_END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 100
-#: Time of page 0, when pages bring no time; each further page_id is a second later (seconds since 1970).
+#: Time of page 0, when pages bring no time (seconds since 1970), and the number of pages after which times begin again.
 FIRST_SECOND = 1_700_000_000
-#: Records of one archive at most.
-RECORDS_A_FILE = 500
+PAGE_SECONDS = 1 << 30
+#: Payload bytes of an archive, on average; records of a larger payload have an archive of their own or share it with few.
+ARCHIVE_BYTES = 16 << 20
+#: Entries of a range of the index, about.
+MERGE_ROWS = 20_000
+#: An empty gzip member (fixed values): its header ends a row, the rest is the line separator.
+EMPTY_HEADER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
+EMPTY_REST = "\x03\x00" + "\x00" * 8
+CHUNK = 1 << 16
 
 ENTRY_SCHEMA = "url_key string, captured long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long"
 
@@ -49,28 +59,41 @@ def _long_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, bytes, refers_to (null: a response)."""
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """page_id, url, payload, digest, bytes, seconds (since 1970), refers_to (null: a response)."""
+    page = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    seconds = F.unix_seconds(F.col(time_col).cast("timestamp")) if time_col else F.pmod(page, F.lit(PAGE_SECONDS)) + FIRST_SECOND
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     slim = pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     first = slim.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    whole = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    joined = whole.join(first, "digest", "left")
+    whole = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), F.coalesce(seconds, F.lit(0)).alias("seconds"))
+    # Small payloads share digests by the thousand and never match, so each goes its own way.
+    own_way = F.concat(F.lit("small "), F.monotonically_increasing_id().cast("string"))
+    joined = whole.withColumn("key", F.when(F.col("bytes") >= min_bytes, F.col("digest")).otherwise(own_way)).join(first.withColumnRenamed("digest", "key"), "key", "left").drop("key")
     return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 
 
-def _record(time_col: Column) -> Column:
-    """The record of a row of plan_records, but for its closing separator."""
+def _utc(seconds: Column) -> Column:
+    """WARC-Date of a number of seconds since 1970."""
+    low, high = -62_135_596_800, 253_402_300_799
+    held = F.greatest(F.least(seconds, F.lit(high)), F.lit(low))
+    clock = F.pmod(held, F.lit(86_400))
+    part = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor(held / 86_400).cast("int"))
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), part(F.floor(clock / 3600)), F.lit(":"), part(F.floor(F.pmod(clock, F.lit(3600)) / 60)), F.lit(":"), part(F.pmod(clock, F.lit(60))), F.lit("Z"))
+
+
+def _record() -> Column:
+    """The record of a row of plan_records."""
     revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     urn = lambda page: F.concat(F.lit("<urn:page:"), _long_or_empty(page), F.lit(">"))
-    stamp = F.date_format(time_col.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return F.concat(
         F.lit(VERSION + CRLF),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\\r\\n]", "")),
-        line("WARC-Date", stamp),
+        line("WARC-Date", _utc(F.col("seconds"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("X-Payload-Bytes", F.col("bytes").cast("string")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(F.lit("")),
@@ -78,14 +101,31 @@ def _record(time_col: Column) -> Column:
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit(CRLF),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
+        F.lit(RECORD_END),
     )
 
 
-def write_archives(pages: DataFrame, path: str, time_col: str | None = None, records_a_file: int = RECORDS_A_FILE, **columns) -> None:
-    """Writes a folder of gzipped archives."""
-    planned = plan_records(pages, **columns)
-    time = F.col(time_col) if time_col else F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) + FIRST_SECOND)
-    planned.select(_record(time).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+def _member(record: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush() + EMPTY_HEADER
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array([_member(r.as_buffer()) for r in batch.column(0)], pa.binary())], names=["value"])
+
+
+def records_for(pages: DataFrame, payload_col: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """Records of an archive: as many as hold so many bytes of payload on average."""
+    size = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0))).alias("mean")).first()["mean"]
+    return max(1, int(archive_bytes / (1000 + (size or 0))))  # a thousand for the headers
+
+
+def write_archives(pages: DataFrame, path: str, records_a_file: int | None = None, **columns) -> None:
+    """Writes a folder of archives, a gzip member for each record. columns: those of plan_records()."""
+    members = plan_records(pages, **columns).select(_record().cast("binary").alias("value")).mapInArrow(_members, "value binary")
+    records = records_a_file or records_for(pages, columns.get("payload_col", "html"))
+    members.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_REST).option("maxRecordsPerFile", records).text(path)
 
 
 # Reading.
@@ -103,21 +143,34 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (parts.path.rstrip("/") or "/") + query
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
-    """Offset, headers and payload of each record. raw: an archive, no longer compressed."""
+def read_members(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each gzip member that isn't empty."""
     at, view = 0, memoryview(raw)
     while at < len(raw):
-        head_end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head_end].decode().split(CRLF)
-        if lines[0] != VERSION:
-            raise ValueError(f"no record at {at}")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        start = head_end + 4
-        end = start + int(headers["Content-Length"])
-        yield at, headers, view[start:end]
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} has no end")
-        at = end + 4
+        unpack, parts, end = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if end >= len(raw):
+                raise ValueError(f"the member at {at} has no end")
+            parts.append(unpack.decompress(view[end : end + CHUNK]))
+            end = min(end + CHUNK, len(raw))
+        end -= len(unpack.unused_data)
+        if content := b"".join(parts):
+            yield at, content
+        at = end
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], memoryview]:
+    """Headers and payload of a record."""
+    head_end = raw.index(b"\r\n\r\n")
+    lines = raw[:head_end].decode().split(CRLF)
+    if lines[0] != VERSION:
+        raise ValueError("not a record")
+    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    start = head_end + 4
+    end = start + int(headers["Content-Length"])
+    if raw[end:] != RECORD_END.encode():
+        raise ValueError("the record has no end")
+    return headers, memoryview(raw)[start:end]
 
 
 def _page(urn: str | None) -> int | None:
@@ -128,7 +181,8 @@ def _page(urn: str | None) -> int | None:
 def _entries(archive: str, raw: bytes) -> list[tuple]:
     """A run: an archive's index entries, sorted. Payload sizes and digests of responses are those of the bytes read."""
     run = []
-    for offset, h, payload in parse_archive(raw):
+    for offset, record in read_members(raw):
+        h, payload = parse_record(record)
         kind, digest, size = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Bytes"])
         if kind == "response":
             found = hashlib.sha256(payload).hexdigest()
@@ -151,17 +205,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            if rows := _entries(path.as_py().rpartition("/")[2], gzip.decompress(content.as_py())):
+            if rows := _entries(path.as_py().rpartition("/")[2], content.as_py()):
                 yield _batch(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Index entries of a folder of archives: a sorted run for each archive (see ENTRY_SCHEMA)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(_parse_files, ENTRY_SCHEMA)
 
 
@@ -223,15 +275,16 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(block)
 
 
-def merge_index(entries: DataFrame) -> DataFrame:
+def merge_index(runs: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """All runs as one index, ordered over and within partitions: capture histories by URL key and time."""
     place = ["url_key", "captured", F.col("page_id").asc_nulls_last(), "archive", "offset"]
-    return entries.repartitionByRange(*place).mapInArrow(merge_runs, ENTRY_SCHEMA)
+    ranges = max(1, -(-runs.count() // merge_rows))
+    return runs.repartitionByRange(ranges, *place).mapInArrow(merge_runs, ENTRY_SCHEMA)
 
 
-def warc_index(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
+def warc_index(pages: DataFrame, path: str | None = None, merge_rows: int = MERGE_ROWS, **options) -> DataFrame:
     """Writes pages as archives (in the shared folder by default), reads them back and merges the index."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, **options)
-    return merge_index(read_archives(spark, path))
+    return merge_index(materialise(read_archives(spark, path), "runs"), merge_rows)
