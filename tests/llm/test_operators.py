@@ -1,9 +1,11 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import gzip
 import hashlib
 import random
 import zlib
 from collections import Counter
+from datetime import UTC, datetime
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +50,24 @@ def test_long_texts_without_seams():
         assert tree.encode(text).tolist() == ENCODING.encode_ordinary(text)
 
 
+def test_very_long_texts():
+    tree, r = bpe.TreeBpe(RANKS, public_tokenizers.PATTERN), random.Random(5)
+    spaces = " " * 2_000_000 + "x"  # the library's stack doesn't hold these
+    ids = tree.encode(spaces).tolist()
+    assert tree.decode(ids) == spaces.encode() and ids[-1] == ENCODING.encode_ordinary(" x")[-1]
+    assert ids[:-1] == tree.core.encode_single_piece(b" " * 1_999_999)
+    for text in ("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300_000)), "".join(r.choice("abcdé1'") for _ in range(200_000)), " " * 200_000 + "x " * 20_000 + "\n" * 50_000):
+        assert tree.encode(text).tolist() == ENCODING.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abthe're1 \n日é")), max_size=300), st.booleans())
+def test_runs_without_seams(text, dense):
+    tree = bpe.TreeBpe(RANKS, public_tokenizers.PATTERN, 8, 1, run_chars=3, leaf_bytes=1)
+    text = text.replace(" ", "") if dense else text
+    assert tree.encode(text).tolist() == ENCODING.encode_ordinary(text)
+
+
 def test_digests(spark):
     rows = [(1, "Hello  world's", "a"), (2, None, "a"), (3, "", None), (3, "", None), (4, words(2, 5000), "b")]
     got = sorted(map(tuple, queries.encode_digests(table(spark, rows)).collect()))
@@ -73,7 +93,7 @@ def lines_removed(rows, min_sites=line_dedup.MIN_SITES):
 
 def test_line_dedup(spark):
     shared, near = "a line that many sites share with others", "a line that seven sites share with others"
-    rows = [(i, f"own {i}\n{shared}  \n{near if i < 7 else 'z'}\nshort", f"s{i}" if i else None) for i in range(12)]
+    rows = [(i, f"own {i}\n{shared}  \n{near if i < 7 else 'z'}\nshort\n ", f"s{i}" if i else None) for i in range(12)]
     rows += [(20, shared, "s1"), (20, shared, "s1"), (21, None, "s2"), (22, "", "s3"), (None, near + "\n" + near, "s2")]
     out = line_dedup.dedup_lines(table(spark, rows))
     key = lambda x: (x[0] is None, x[0] or 0, str(x[1]))
@@ -82,6 +102,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_of_long_texts_short_lines_and_columns_of_any_name(spark):
+    menu, n = "All rights reserved.", 30_000
+    rows = [(i, f"own {i}\n{menu}", f"s{i}", 70 + i, "mine") for i in range(9)] + [(9, "\n".join([menu] * n + [f"line {k}" for k in range(n)]), "s0", 79, "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __d0 long, __gone string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, n_lines_col="lines").collect()}
+    assert {i: r.text for i, r in got.items() if i < 9} == {i: f"own {i}" for i in range(9)}
+    assert {(r["__d0"] - i, r["__gone"]) for i, r in got.items()} == {(70, "mine")}
+    assert got[9].text == "\n".join(f"line {k}" for k in range(n)) and (got[9].lines, got[9]["__n_removed"]) == (2 * n, n)
+
+
 # 3
 
 
@@ -196,7 +226,7 @@ def test_warc_round_trip(spark, tmp_path):
     long = "<p>\r\n\r\nWARC/1.1\r\n é" * 40
     rows = [(5, "http://www.Example.com/b?y=2&x=1#f", long), (3, "https://example.com/b", long), (9, None, long), (1, "http://a.org/", "tiny"), (2, "http://a.org/", "tiny"), (7, "http://a.org/x", None), (8, "bad\r\nurl", ""), (3, "https://example.com/b", long), (None, "http://a.org/n", long)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
-    got = warc.warc_index(pages, str(tmp_path / "w"), records_a_file=2).collect()
+    got = warc.warc_index(pages, str(tmp_path / "w"), records_a_file=2, merge_rows=3).collect()
     want = []
     for i, _, h in rows:
         raw = (h or "").encode()
@@ -208,6 +238,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.warc_index(pages.where("false"), str(tmp_path / "e")).count() == 0
 
 
+def test_warc_of_any_id_and_time_zone(spark, tmp_path):
+    ids = [0, -1, 10**12, 10**15, -9 * 10**18, 2**63 - 1, None]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "<p>" * 200_000, None) for i in ids], "page_id long, url string, html string, seen timestamp")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    for name in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", name)
+        found.append({r.page_id: (r.captured, r.record_type, r.refers_to) for r in warc.warc_index(pages, str(tmp_path / name.replace("/", "")), merge_rows=2).collect()})
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == found[1] and found[0][0][0] == warc.FIRST_SECOND and found[0].keys() == set(ids)
+    assert all(k[1:] == (("response", None) if i == -9 * 10**18 else ("revisit", -9 * 10**18)) for i, k in found[0].items())
+    old = pages.limit(1).selectExpr("page_id", "url", "html", "timestamp'1931-02-03 04:05:06Z' AS seen")
+    assert [r.captured for r in warc.warc_index(old, str(tmp_path / "old"), time_col="seen").collect()] == [int(datetime(1931, 2, 3, 4, 5, 6, tzinfo=UTC).timestamp())]
+
+
+def test_offsets_are_where_records_begin(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string")
+    for r in warc.warc_index(pages, str(tmp_path / "w")).collect():
+        with open(tmp_path / "w" / r.archive, "rb") as f:
+            f.seek(r.offset)
+            headers, payload = warc.parse_record(zlib.decompressobj(31).decompress(f.read()))
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and bytes(payload).decode() == f"page {r.page_id} " * 50
+        assert gzip.decompress((tmp_path / "w" / r.archive).read_bytes()).startswith(warc.VERSION.encode())
+
+
 @given(st.lists(st.lists(st.integers(0, 9)), max_size=7))
 def test_loser_tree(runs):
     assert list(warc.LoserTree([sorted((x, i) for x in r) for i, r in enumerate(runs)], key=lambda r: r)) == sorted((x, i) for i, r in enumerate(runs) for x in r)
@@ -246,6 +301,31 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("name", ["plain", "outlier", "offset", "wide", "clusters"])
+def test_recall_of_a_graph(name):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(2500, 384 if name == "wide" else 64))
+    if name == "outlier":
+        x[5, 3] = 1e30
+    if name == "offset":
+        x = 1000 + 0.01 * x
+    if name == "clusters":
+        x = 1000 * r.normal(size=(30, 64))[r.integers(0, 30, len(x))] + 0.01 * x
+    graph, asked = ann.Graph(x).build(), np.arange(0, len(x), 25)
+    ids, _ = graph.search(graph.about(x[asked]), ann.SEARCH_BEAM)
+    hit = 0
+    for q, near in zip(asked, ids):
+        distance = lambda at: np.sqrt(((x[at] - x[q]) ** 2).sum(axis=1))  # noqa: B023, E731
+        others, near = np.delete(np.arange(len(x)), q), near[(near >= 0) & (near != q)]
+        hit += len({*others[np.argsort(distance(others), kind="stable")[:10]]} & {*near[np.argsort(distance(near), kind="stable")[:10]]})
+    assert hit >= 0.95 * 10 * len(asked)
+
+
+def test_shards_grow_more_slowly_than_rows():
+    assert [ann.shards_for(n, 64 * n, 8192, 1 << 28) for n in (0, 8192, 100_000, 1_000_000)] == [1, 1, 4, 12]
+    assert ann.shards_for(10, 10 << 20, 8192, 1 << 20) == 80
+
+
 # 8
 
 
@@ -407,10 +487,10 @@ def planted(seed=1):
     return rows + [(2000, words(100, 60), "s"), (2000, words(100, 60), "s"), (2001, words(100, 60).upper() + "!", "s"), (2002, None, "s"), (2003, "", "s"), (2004, "two words", "s"), (2005, "Two, words", "s"), (2006, "?!", "s"), (None, words(101, 60), "s"), (3000, words(9, 20000), "s"), (3001, words(9, 20000) + " end", "s")]
 
 
-@pytest.mark.parametrize("block", [4, 512])
-def test_ngram_join(spark, block):
+@pytest.mark.parametrize("block_grams", [300, 1 << 19])
+def test_ngram_join(spark, block_grams):
     rows = planted()
-    got = ngram_join.near_duplicates(table(spark, rows), block=block).collect()
+    got = ngram_join.near_duplicates(table(spark, rows), block_grams=block_grams).collect()
     link, root = brute_links(rows)
     ids = [r[0] for r in rows]
     members = {}
@@ -429,8 +509,52 @@ def test_keep_one(spark):
     assert kept.count() == len(set(root))
 
 
-def test_depth_shortens_to_the_recall():
-    assert ngram_join.depth_for(0.8, 20, 8, 0.9995) == 5 and ngram_join.depth_for(0.99, 20, 8, 0.9995) == 8 and ngram_join.depth_for(0.1, 2, 8, 0.9999) == 1
+def test_prefixes_shorten_by_the_measured_recall(spark):
+    """Links near the threshold shorten prefixes, links of very similar texts alone don't; recall against brute force."""
+    depth, trees = ngram_join.MAX_DEPTH, ngram_join.TREES
+    chosen, lost, linked = {}, 0, 0
+    for name, changes in (("alike", 1), ("apart", 14)):
+        r, rows = random.Random(changes), []
+        for i in range(240):
+            ws = words(1000 + i // 2, 700).split()
+            for _ in range(changes * (i % 2)):
+                ws[r.randrange(700)] = f"new{r.random()}"
+            rows.append((i, " ".join(ws), "s"))
+        signed = ngram_join.signatures(table(spark, rows), "doc_id", "text", trees, depth)
+        nodes = signed.select("node", "size", "signature")
+        links = ngram_join.forest_links(nodes, trees, depth, ngram_join.MIN_DEPTH)
+        recall = ngram_join.recall_by_band(links, nodes, 80, trees, depth, ngram_join.MIN_DEPTH)
+        chosen[name] = ngram_join.choose_depth(recall, ngram_join.TARGET_RECALL)
+        want, _ = brute_links(rows)
+        got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
+        linked += sum(map(len, want))
+        lost += sum(len(w) - got[i] for i, w in enumerate(want))
+    assert chosen["alike"] > chosen["apart"] >= ngram_join.MIN_DEPTH
+    assert linked > 300 and lost <= 0.001 * linked
+    assert ngram_join.choose_depth({8: [], 7: []}, 0.9) == 8 and ngram_join.choose_depth({8: [0.5], 7: [0.8]}, 0.9) == 7
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), st.lists(st.integers(0, 1), min_size=4, max_size=4)), min_size=1, max_size=30), st.integers(1, 7))
+def test_stretches_connect_all_that_share_a_prefix(rows, batch):
+    rows = sorted((t, *v) for t, v in rows)
+    stretches, links = ngram_join._Stretches(4, 2), []
+    for i in range(0, len(rows), batch):
+        part = np.array(rows[i : i + batch])
+        links += zip(*(x.tolist() for x in stretches.links(part[:, 0], part[:, 1:], np.arange(i, i + len(part)))))
+    assert len(links) < len(rows)
+    for depth in (2, 3, 4):
+        root = list(range(len(rows)))
+        for a, b, d in sorted(links):
+            if d >= depth:
+                root[a] = root[b]
+        assert [rows[root[i]][: depth + 1] for i in range(len(rows))] == [r[: depth + 1] for r in rows]
+        assert all((root[i] == root[j]) == (rows[i][: depth + 1] == rows[j][: depth + 1]) for i in range(len(rows)) for j in range(i))
+
+
+def test_keep_one_leaves_columns_of_any_name(spark):
+    rows = [(1, "a b c", 7, "x"), (2, "a b c", 8, "y"), (3, "", 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __d0 long, __g string")
+    assert sorted(map(tuple, ngram_join.keep_one(df).collect())) == [rows[0], rows[2]]
 
 
 def test_components_of_a_chain(spark):
