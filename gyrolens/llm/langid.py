@@ -3,17 +3,16 @@
 A word known from training scores its log frequency in each language. An unseen word falls back to its character
 n-grams: the longest length of which any n-gram is known, of 5 down to 1 (word ends are marked), scores the mean log
 frequency of those. A text's language has the largest sum over all its words; the score is that language's share of
-the posterior (equal priors).
+the posterior by the mean log frequency of a word (equal priors), so it tells near languages from far ones at any length.
 
 Training counts words and n-grams by aggregation over a bounded sample of labelled texts: all of them up to
 ``max_train_rows``, beyond it those of each language with the smallest hash of id and text, in expectation as many in all, so a group of copies is thinned like the rest.
-Languages have equal shares of the sample, a small one all its rows, and each at least one, so every labelled language is learned. The ``max_words`` most frequent words and
-``max_grams`` most frequent n-grams of each language are the model; languages are labels, so few. The model is
-broadcast, bounded by these parameters. Prediction reads nothing but the text, whole.
+Languages have equal shares of the sample, a small one all its rows, and each at least one, so every labelled language is learned. All
+words and n-grams of the sample are the model, which is broadcast; the number of rows bounds it. Prediction reads nothing but the text, whole.
 
-Defined results: words are runs of letters, in lower case. ``und`` with score 0 for null texts, texts without a letter,
+Defined results: words are runs of letters (Unicode's category L), in lower case. ``und`` with score 0 for null texts, texts without a letter,
 and all texts if nothing was learned. Ties go to the language that comes first in code point order. Repeated rows count as
-often as they occur. Extra columns are not read by training and pass through prediction.
+often as they occur. Extra columns are not read by training and pass through prediction, but for one of the name ``out``, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,17 +25,17 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gyrolens.llm.common import letter_class
+
 MAX_TRAIN_ROWS = 5_000
-MAX_WORDS = 20_000
-MAX_GRAMS = 30_000
 MAX_N = 5
 #: Added to counts, for words and n-grams that a language has not shown.
 SMOOTHING = 0.5
 CACHE_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(letter_class() + "+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -124,7 +123,7 @@ class Model:
                     continue
                 sums = self.vectors[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 best = int(np.argmax(sums))
-                found.append((self.langs[best], float(1 / np.exp(np.clip(sums - sums[best], -700, 0)).sum())))
+                found.append((self.langs[best], float(1 / np.exp((sums - sums[best]) / len(words)).sum())))
         return found
 
 
@@ -138,7 +137,7 @@ def sample_limits(groups: dict[str, tuple[int, int]], max_train_rows: int) -> di
     return limits
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     n = labelled.count()
     if n > max_train_rows:
@@ -147,9 +146,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         limits = sample_limits({r["lang"]: (r["n"], r["first"]) for r in groups}, max_train_rows)
         labelled = labelled.where(place < F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")))
     counts = labelled.select("text", "lang").mapInArrow(_partial_counts, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    top = Window.partitionBy("lang", F.when(F.col("n") == 0, -1).otherwise(0)).orderBy(F.desc("c"), "n", "gram")
-    kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-    return Model(kept.select("n", "gram", "lang", "c").toPandas().sort_values(["n", "gram", "lang"]))
+    return Model(counts.toPandas().sort_values(["n", "gram", "lang"]))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "prediction") -> DataFrame:
