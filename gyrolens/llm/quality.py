@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade (operator 5).
 
 Base counts are taken of every document. Those that pass the base rules go through further rules, each of which sees
-only what the earlier ones let pass. The order is found on a sample: each rule's cost (seconds a document) and
-selectivity (share rejected) are measured, and rules run by rejection per cost, largest first. A document is kept if
-no rule rejects it, so the order changes the time and never the verdict.
+only what the earlier ones let pass. The order is found on a sample of the whole table, chosen by a hash of the text: executors measure each
+rule's cost (seconds a document, the base counts being there already) and what it rejects; the next rule is always the one with the largest rejection
+per cost among the sampled documents that the rules before it let pass. A document is kept if no rule rejects it, so the order changes the time
+and never the verdict.
 
 Defined results: null text has no words, as an empty one, and fails the base rules. Lines are split at \\n only, words
 are runs of characters other than ASCII white space, and texts are read whole. Rows are independent: repeated
-rows and ties need no rule. Extra columns pass through.
+rows and ties need no rule. Extra columns pass through, but for one of the name ``out``, which is replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 import time
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolens.llm.common import WORD_PATTERN
+from gyrolens.llm.common import WORD_PATTERN, letter_class
 
 #: Fixed values.
 WINDOW_WORDS = 8
@@ -32,10 +33,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SAMPLE_ROWS = 400
-#: The sample that orders the rules holds no longer texts than this, which bounds what the driver gets. All texts are judged whole.
-SAMPLE_CHARS = 100_000
 WORDS = re.compile(WORD_PATTERN)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(letter_class())
 
 
 def repeated_words(words: list[str], size: int = WINDOW_WORDS) -> int:
@@ -120,21 +119,48 @@ class Cost:
         return self.rejected / max(self.seconds, 1e-9)
 
 
-def measure(texts: list[str], rules: dict[str, Callable[[Page], bool]] = RULES) -> list[Cost]:
-    """Each rule's cost and selectivity on texts that pass the base rules, best rule first."""
+def probe(text: str | None, rules: dict[str, Callable[[Page], bool]] = RULES) -> list[tuple[float, bool]] | None:
+    """Seconds and verdict of each rule on a text that passes the base rules; null for others."""
+    page = Page(text or "")
+    if page.base_failed:
+        return None
+    _ = page.word_chars, page.n_symbols, page.n_dup_lines  # taken of every document, so no rule's cost
     found = []
-    for name, rule in rules.items():
-        pages = [p for t in texts if not (p := Page(t)).base_failed]  # anew for each rule, so that none gains by another's work
+    for rule in rules.values():
         began = time.perf_counter()
-        rejected = sum(map(rule, pages))
-        found.append(Cost(name, (time.perf_counter() - began) / max(1, len(pages)), rejected / max(1, len(pages))))
-    return sorted(found, key=lambda c: (-c.worth, c.seconds, c.rule))
+        rejected = rule(page)
+        found.append((time.perf_counter() - began, bool(rejected)))
+    return found
+
+
+def cascade(probes: list[list[tuple[float, bool]]], rules: Iterable[str] = RULES) -> list[Cost]:
+    """The rules in the order to run, each with its mean cost and the share that it rejects of what is left before it."""
+    names, left, order = list(rules), list(probes), []
+    at = {name: i for i, name in enumerate(names)}
+    seconds = {name: sum(p[at[name]][0] for p in probes) / max(1, len(probes)) for name in names}
+    while names:
+        costs = [Cost(name, seconds[name], sum(p[at[name]][1] for p in left) / max(1, len(left))) for name in names]
+        best = min(costs, key=lambda c: (-c.worth, c.seconds, c.rule))
+        order.append(best)
+        names.remove(best.rule)
+        left = [p for p in left if not p[at[best.rule]][1]]
+    return order
 
 
 def plan(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules in the order to run. The sample has a fixed bound and serves the order alone."""
-    texts = [r[0] for r in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(sample_rows).collect()]
-    return [c.rule for c in measure(texts)]
+    """Names of the rules in the order to run. The sample serves the order alone; only times and verdicts of it leave executors."""
+    places = 1 << 32
+    share = sample_rows / max(sample_rows, docs.count())
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [p for t in batch.column(0) if (p := probe(t.as_py()))]
+            yield pa.record_batch({"seconds": pa.array([[x for x, _ in p] for p in rows], pa.list_(pa.float64())), "rejected": pa.array([[x for _, x in p] for p in rows], pa.list_(pa.bool_()))})
+
+    text = F.col(f"`{text_col}`")
+    chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(places)) < int(places * share))
+    rows = chosen.mapInArrow(probed, "seconds array<double>, rejected array<boolean>").collect()
+    return [c.rule for c in cascade([list(zip(r["seconds"], r["rejected"])) for r in rows])]
 
 
 SCHEMA = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,base_failed:boolean,kept:boolean,rejected_by:string>"
