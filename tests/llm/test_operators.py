@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -177,6 +178,42 @@ def test_language_edges(spark):
     assert two.rows_of("the") == [two.tables[0]["the"]] and two.rows_of("lex") == [two.tables[3]["^le"]] and two.rows_of("qz") == [two.tables[1]["z"]] and two.rows_of("q") == [0]
 
 
+def slow_prediction(labelled, text):
+    """The method, word by word, from counts of the labelled texts."""
+    counts = {}
+    for t, lang in labelled:
+        for w in langid.words_of(t):
+            for n in range(langid.MAX_N + 1):
+                for g in [w] if n == 0 else langid.grams_of(w, n):
+                    counts.setdefault(n, {}).setdefault(g, Counter())[lang] += 1
+    langs = sorted({lang for t, lang in labelled if langid.words_of(t)})
+    log = lambda n, g, lang: math.log((counts[n][g][lang] + langid.SMOOTHING) / sum(c[lang] + langid.SMOOTHING for c in counts[n].values()))
+    sums, ws = dict.fromkeys(langs, 0.0), langid.words_of(text)
+    for w in ws:
+        n, known = next(((n, k) for n in (0, 5, 4, 3, 2, 1) if (k := [g for g in ([w] if n == 0 else langid.grams_of(w, n)) if g in counts.get(n, {})])), (0, []))
+        for lang in langs:
+            sums[lang] += sum(log(n, g, lang) for g in known) / len(known) if known else 0
+    if not ws or not langs:
+        return "und", 0.0
+    best = max(langs, key=lambda x: sums[x])
+    return best, 1 / sum(math.exp((sums[x] - sums[best]) / len(ws)) for x in langs)
+
+
+def test_language_equals_slow_prediction(spark):
+    r = random.Random(4)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 7))) for _ in range(n))
+    labelled = [(make("abcde", 12), "x") for _ in range(12)] + [(make("defgh", 12), "y") for _ in range(9)] + [(make("ghija", 9), "z") for _ in range(9)]
+    asked = [make("abcdefghijk", r.randrange(1, 9)) for _ in range(60)] + [labelled[0][0], "kkk", "½ 12", "", make("abcde", 40_000), "same"] + ["same"] * 2
+    docs = spark.createDataFrame([(i, t, lang, 1) for i, (t, lang) in enumerate(labelled)], "doc_id long, text string, lang string, n long")
+    model = langid.train(docs)
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    for row in langid.predict(rows, model).collect():
+        lang, score = slow_prediction(labelled, row.text)
+        assert row.lang == "kept" and (row.prediction.lang == lang or abs(score - 1 / 3) < 1e-9) and abs(row.prediction.score - score) < 1e-9
+    tied = langid.train(spark.createDataFrame([(1, "ab", "q"), (2, "ab", "p")], "doc_id long, text string, lang string"))
+    assert tied.predict(["ab"]) == [("p", 0.5)]
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, words(i, 5), "en") for i in range(2000)] + [(3000 + i, f"qa{i} qo", "xx") for i in range(3)] + [(None, "zu zo", "yy")] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -214,11 +251,22 @@ def test_order_never_changes_the_verdict(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, back)) and len(got) == len(rows)
     brute = {i: not (p := quality.Page(t or "")).base_failed and not any(rule(p) for rule in quality.RULES.values()) for i, t, _ in rows}
     assert {r.doc_id: r.kept for r in got} == brute
-    costs = quality.measure([t for _, t, _ in rows if t])
-    assert [c.worth for c in costs] == sorted((c.worth for c in costs), reverse=True)
+    assert sorted(quality.plan(docs)) == sorted(names) and sorted(quality.plan(docs.where("false"))) == sorted(names)
     assert quality.apply_rules(docs.where("false")).count() == 0
 
 
+def test_cascade_counts_what_earlier_rules_let_pass():
+    """b rejects most, but nothing that a, the cheaper one, lets pass; c rejects a text that is left."""
+    probes = [[(1, True), (4, True), (2, False)]] * 5 + [[(1, False), (4, False), (2, False)]] * 4 + [[(1, False), (4, False), (2, True)]]
+    costs = quality.cascade(probes, ["a", "b", "c"])
+    assert [c.rule for c in costs] == ["a", "c", "b"] and [c.rejected for c in costs] == [0.5, 0.2, 0.0]
+
+
+def test_letters_are_letters():
+    signs = "½ ² ① Ⅷ ৪ ٣ 7 _ !"
+    assert not quality.LETTER.search(signs) and not langid.words_of(signs) and langid.words_of("Été, 日本ß x²") == ["été", "日本ß", "x"]
+
+
 # 6
 
 
