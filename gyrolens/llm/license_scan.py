@@ -13,7 +13,7 @@ Only counts of the templates' words reach the driver, a few hundred whatever the
 
 Defined results: null and empty texts declare nothing; a null path has no directory and inherits nothing. Equal cosines go to the template
 that comes first; several licence files of one directory to the best cosine, then the name first in order. Repeated rows are files of their own
-and count as often in frequencies. Extra columns pass through.
+and count as often in frequencies. Extra columns are not read, whatever their names, and not returned. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -39,14 +39,28 @@ CC = (
 )
 CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
 #: Names, kinds and versions of the GNU licences, whose headers differ in these only.
-GNU = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
+GNU = (("GPL-1.0", "", "1"), ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
 GNU_TERMS = (
     "you can redistribute it and/or modify it under the terms of the GNU",
     "General Public License as published by the Free Software Foundation, either version",
     "of the License, or (at your option) any later version.",
 )
-#: Notices of common licences (fixed values).
+#: Titles of whole licence texts, and notices of common licences (fixed values). Of templates that fit as well, the first counts.
 TEMPLATES = (
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Artistic-1.0", "The Artistic License Preamble The intent of this document is to state the conditions under which a Package may be copied"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -61,6 +75,8 @@ TEMPLATES = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     *((f"CC-{code}-{version}", text) for code, name in CC for version, port in CC_VERSIONS for text in (f"This work is licensed under a Creative Commons {name} {version} {port} License.", f"Licensed under CC {code} {version}.")),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1; you may not use this file except in compliance with the License."),
+    *((f"GFDL-{v}", f"Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version {v} or any later version published by the Free Software Foundation") for v in ("1.2", "1.3")),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("ISC", "Licensed under the ISC License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -213,17 +229,20 @@ def inherit(files: DataFrame) -> DataFrame:
     """files (path, own, score, ...) with license and license_dir (null: declared by the file itself, or none)."""
     name, directory = F.element_at(F.split("path", "/"), -1), _parent(F.col("path"))
     placed = files.withColumn("__dir", directory)
-    by_dir = (
+    # Written, so that joins have plain tables on both sides and adaptive execution can split a folder, or the root, of most files.
+    by_dir = materialise(
         placed.where(name.rlike(LICENSE_FILE) & F.col("own").isNotNull())
         .groupBy("__dir")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), name.alias("n"), "own")).alias("__best"))
-        .select(F.col("__dir").alias("__anc"), F.col("__best.own").alias("license"))
+        .select(F.col("__dir").alias("__anc"), F.col("__best.own").alias("license")),
+        "licensed",
     )
     parts = F.split("__dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    nearest = (
+    nearest = materialise(
         placed.select("__dir").where(F.col("__dir").isNotNull()).distinct().withColumn("__anc", F.explode(F.array_distinct(above))).join(by_dir, "__anc").groupBy("__dir")
-        .agg(F.max(F.struct(F.length("__anc").alias("depth"), F.col("__anc").alias("dir"), "license")).alias("__near"))
+        .agg(F.max(F.struct(F.length("__anc").alias("depth"), F.col("__anc").alias("dir"), "license")).alias("__near")),
+        "nearest",
     )
     return placed.join(nearest, "__dir", "left").select(
         *files.columns,

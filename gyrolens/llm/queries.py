@@ -86,12 +86,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", count(F.col("text")).alias("c")).select("doc_id", "c.n_words", "c.n_tokens")
 
 
+#: First words of texts that stand for licence files.
+NOTICE = r"(?i)^\W*(this work is )?(licensed|released|dedicated|copyright|copying|permission)\b"
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files /source/block of 1000/block of 100/doc_id.txt. One of less than 200 characters is its block of 1000's licence file."""
+    """Documents as files /source/block of 1000/block of 100/doc_id.txt. One that begins with a notice is its block of 1000's licence file."""
     docs = _documents(spark, sf_dir)
     source = F.coalesce("source", F.lit("unknown"))
     upper = F.concat_ws("/", source, F.floor(F.col("doc_id") / 1000).cast("string"))
-    path = F.when(F.length("text") < 200, F.concat_ws("/", upper, F.concat(F.lit("LICENSE."), F.col("doc_id")))).otherwise(
+    path = F.when(F.col("text").rlike(NOTICE), F.concat_ws("/", upper, F.concat(F.lit("LICENSE."), F.col("doc_id")))).otherwise(
         F.concat_ws("/", upper, F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id"), F.lit(".txt")))
     )
     return license_scan.scan_licenses(docs.select("doc_id", path.alias("path"), "text"))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -498,6 +499,43 @@ def test_wrapped_headers_and_licence_files(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(texts)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_licence_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}
+    names |= {"LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    names = {f: want for f, want in names.items() if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    rows = [(f"{f}/LICENSE", open(f"/usr/share/common-licenses/{f}", errors="replace").read()) for f in names] + [("MIT/LICENSE", MIT)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("concat('prose/', doc_id) AS path", "text")
+    df = spark.createDataFrame(rows, "path string, text string").union(docs).withColumn("doc_id", F.monotonically_increasing_id())
+    got = {r.path: r.own for r in license_scan.scan_licenses(df).collect()}
+    assert {f: got[f"{f}/LICENSE"] for f in [*names, "MIT"]} == names | {"MIT": "MIT"}
+
+
+def test_inheritance_by_brute_force(spark):
+    """Random trees; ties of several licence files of one folder; a file's own notice, null paths and a very long text."""
+    r = random.Random(11)
+    notices = {"MIT": "Released under the MIT License.", "ISC": "Licensed under the ISC License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    folder = lambda: "/".join(r.choice("ab") for _ in range(r.randrange(5)))
+    files = []
+    for i in range(300):
+        d = folder()
+        name, text = r.choice([(f"f{i}.py", words(i, 20)), (f"f{i}.py", words(i, 20)), (f"LICENSE.{i}", notices[r.choice(list(notices))] if r.random() < 0.2 else words(i, 20)), (f"g{i}.c", notices["ISC"])])
+        files.append((i, f"{d}/{name}" if d else name, text))
+    files += [(300, None, "no path"), (301, "a/b/long.txt", words(1, 150_000) + "\n" + notices["MIT"] + "\n" + words(2, 150_000))]
+    got = {x.doc_id: (x.own, x.license, x.license_dir) for x in license_scan.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    own = {i: next((k for k, v in notices.items() if v in t), None) for i, _, t in files}
+    held = {}
+    for i, path, _ in sorted(files, key=lambda f: (f[1] or "").rpartition("/")[2]):
+        if path and own[i] and "LICENSE" in path:
+            held.setdefault(path.rpartition("/")[0], own[i])  # equal cosines: the first name in order
+    for i, path, _ in files:
+        d = None if path is None else path.rpartition("/")[0]
+        above = [] if d is None else [d, *(d[:k] for k in range(len(d) - 1, -1, -1) if d[k] == "/"), ""]
+        near = next((x for x in above if x in held), None)
+        want = (own[i], own[i], None) if own[i] else (None, held.get(near) if near is not None else None, near)
+        assert got[i] == want, (i, path, got[i], want)
+
+
 def test_creative_commons_family_and_notices_of_the_table(spark):
     texts = [(t, name) for name, t in license_scan.TEMPLATES if name.startswith("CC-BY")]
     assert {"CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"} <= {name for _, name in texts}
