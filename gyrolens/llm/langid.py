@@ -23,23 +23,25 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolens.llm.common import letter_class
-
 MAX_TRAIN_ROWS = 5_000
 MAX_N = 5
 #: Added to counts, for words and n-grams that a language has not shown.
 SMOOTHING = 0.5
 CACHE_WORDS = 200_000
-LETTERS = re.compile(letter_class() + "+")
+#: Letters, and the few numerals (such as ½ and Ⅷ) that are neither letters nor decimal digits.
+RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    runs = RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -67,20 +69,21 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 class Model:
     """Log frequencies by language: row ``tables[n][gram]`` of ``logs``; n = 0 holds words."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(set(counts["lang"]))
-        at = {x: i for i, x in enumerate(self.langs)}
+    def __init__(self, counts: pa.Table):
+        """counts: n, gram, lang, c, each n, gram and lang once."""
+        self.langs = sorted(set(counts["lang"].unique().to_pylist()))
         self.tables: list[dict[str, int]] = []
         parts, start = [np.zeros((1, max(1, len(self.langs))))], 1  # row 0: nothing known
         for n in range(MAX_N + 1):
-            part = counts[counts["n"] == n]
-            grams = {g: i for i, g in enumerate(dict.fromkeys(part["gram"]))}
-            if grams:
-                m = np.full((len(grams), len(self.langs)), SMOOTHING)
-                np.add.at(m, ([grams[g] for g in part["gram"]], [at[x] for x in part["lang"]]), part["c"].to_numpy(float))
+            part = counts.filter(pc.equal(counts["n"], n))
+            grams = part["gram"].combine_chunks().dictionary_encode()
+            langs = pc.index_in(part["lang"], pa.array(self.langs, pa.string())).to_numpy()
+            if len(grams):
+                m = np.full((len(grams.dictionary), len(self.langs)), SMOOTHING)
+                m[grams.indices.to_numpy(), langs] += part["c"].to_numpy()
                 parts.append(np.log(m / m.sum(axis=0)))
-            self.tables.append({g: i + start for g, i in grams.items()})
-            start += len(grams)
+            self.tables.append(dict(zip(grams.dictionary.to_pylist(), range(start, start + len(grams.dictionary)))))
+            start += len(grams.dictionary)
         self.logs = np.concatenate(parts)
         self._reset()
 
@@ -146,7 +149,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         limits = sample_limits({r["lang"]: (r["n"], r["first"]) for r in groups}, max_train_rows)
         labelled = labelled.where(place < F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")))
     counts = labelled.select("text", "lang").mapInArrow(_partial_counts, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    return Model(counts.toPandas().sort_values(["n", "gram", "lang"]))
+    return Model(counts.toArrow())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "prediction") -> DataFrame:
