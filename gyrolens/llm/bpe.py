@@ -43,6 +43,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gyrolens.llm.common import release
+
 LEAF_CHARS = 1 << 14
 LEAF_IDS = 1 << 14
 FIRST_WINDOW = 32
@@ -208,6 +210,7 @@ class BpeCodec:
             codec = _codec(vocabulary, pattern)
             ids = [codec.encode(t.as_py()) for t in texts]
             decoded = pa.array([codec.decode(x.tolist()) for x in ids], pa.binary())
+            release()
             return pa.StructArray.from_arrays([as_lists(ids), decoded], ["ids", "decoded"])
 
         self._encode, self._decode, self._round_trip = encode, decode, round_trip

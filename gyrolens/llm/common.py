@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of characters that are not ASCII white space (fixed value).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch. Long texts then don't add up to large batches of many rows.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,7 +88,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def letter_class() -> str:
-    """A character class of re for letters. \\w has other numerals besides, such as ½ and Ⅷ; they come from the character database."""
-    others = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return "[^\\W\\d_" + re.escape(others) + "]"
+def release() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the system: workers outlive their tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)

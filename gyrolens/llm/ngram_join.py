@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrolens.llm.common import fresh, materialise, remove
+from gyrolens.llm.common import fresh, materialise, release, remove
 
 WORDS_A_GRAM = 5
 THRESHOLD_PERCENT = 80
@@ -49,7 +49,7 @@ BAND_PERCENT = 5
 BLOCK_GRAMS = 1 << 19
 #: Sets whose pairs are counted at once.
 TILE = 512
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
 _WORD_HASHES: dict[str, int] = {}
 
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, max_dept
         nodes = pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64())
         sizes = pa.array([len(s) for s in sets], pa.int32())
         labels = pa.array([forest.signature(s) if len(s) else None for s in sets], pa.binary())
+        release()
         return pa.StructArray.from_arrays([nodes, sizes, labels], ["node", "size", "signature"])
 
     text = F.col(f"`{text_col}`")

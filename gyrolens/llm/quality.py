@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolens.llm.common import WORD_PATTERN, letter_class
+from gyrolens.llm.common import WORD_PATTERN, release
 
 #: Fixed values.
 WINDOW_WORDS = 8
@@ -34,7 +34,6 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SAMPLE_ROWS = 400
 WORDS = re.compile(WORD_PATTERN)
-LETTER = re.compile(letter_class())
 
 
 def repeated_words(words: list[str], size: int = WINDOW_WORDS) -> int:
@@ -100,7 +99,7 @@ RULES: dict[str, Callable[[Page], bool]] = {
     "mean_word_length": lambda p: not 2 <= p.word_chars / len(p.words) <= 15,
     "symbols_to_words": lambda p: 10 * p.n_symbols > len(p.words),
     "duplicate_lines": lambda p: 2 * p.n_dup_lines > len(p.lines),
-    "words_without_letters": lambda p: 5 * sum(1 for w in p.words if not (w.isalpha() or LETTER.search(w))) > len(p.words),
+    "words_without_letters": lambda p: 5 * sum(1 for w in p.words if not (w.isalpha() or any(map(str.isalpha, w)))) > len(p.words),
     "bullet_lines": lambda p: 10 * sum(1 for x in p.lines if WORDS.search(x)[0][0] in "-*•‣") > 9 * len(p.lines),
     "ellipsis_lines": lambda p: 10 * sum(1 for x in p.lines if x.rstrip().endswith(("...", "…"))) > 3 * len(p.lines),
     "stuttered_words": lambda p: 10 * sum(map(str.__eq__, p.words, p.words[1:])) > 3 * len(p.words),
@@ -181,8 +180,9 @@ def apply_rules(docs: DataFrame, order: list[str] | None = None, text_col: str =
 
     @F.arrow_udf(SCHEMA)
     def judged(texts: pa.Array) -> pa.Array:
-        rows = [judge(t, order) for t in texts.to_pylist()]
+        rows = [judge(t.as_py(), order) for t in texts]
         columns = zip(*rows) if rows else [()] * len(kinds)
+        release()
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return docs.withColumn(out, judged(F.col(text_col)))
