@@ -29,7 +29,11 @@ SEED = "mix-1"
 #: Hex digits of the order hash that name a range of a source's queue.
 RANGE_DIGITS = 3
 #: Entries of the cut's range that one task may sum row by row; a range of more is cut into ranges again.
-CUT_ROWS = 1 << 20
+CUT_ROWS = 1 << 13
+MOST_RANGES = 1000
+#: Words of a range of the mix, about, as long as there aren't too many ranges for one sample of their bounds.
+RANGE_WORDS = 1 << 20
+MOST_MIX_RANGES = 10_000
 
 
 def sized_queue(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> DataFrame:
@@ -92,7 +96,9 @@ def _first_out(ranged: DataFrame, order: list[str], budget: int) -> Column | Non
         inside = part.where(F.col("__pid") == at[0]["__pid"]).drop("__pid")
         if at[0]["rows"] <= CUT_ROWS:
             break
-        part = materialise(inside.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "cut")
+        # A number of ranges of their own, which adaptive execution doesn't merge; no two entries have one place.
+        ranges = min(MOST_RANGES, 2 * -(-at[0]["rows"] // CUT_ROWS))
+        part = materialise(inside.repartitionByRange(ranges, *order).withColumn("__pid", F.spark_partition_id()), "cut")
     run = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = inside.withColumn("__run", run).where(F.col("__run") > left).agg(F.min(F.struct(*order)).alias("cut")).first()["cut"]
     return F.struct(*[F.lit(first[c]).cast(ranged.schema[c].dataType).alias(c) for c in order])
@@ -135,8 +141,9 @@ def mix_sources(
         .withColumn("finish", _finish(F.col("pass")))
         .select("doc_id", "source", "size", *order)
     )
-    ranged = materialise(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()), "mix")
     budget = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget")).first()["budget"]
+    ranges = max(1, min(MOST_MIX_RANGES, max_repeats * -(-budget // RANGE_WORDS)))
+    ranged = materialise(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()), "mix")
     cut = _first_out(ranged, order, budget)
     ordinal = F.struct(*order)
     in_mix = (lambda key: key < cut) if cut is not None else (lambda key: F.lit(True))
