@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -148,6 +149,13 @@ def test_mixing(spark):
     assert {r.taken for r in mixing.mix_sources(table(spark, [(1, None, "a"), (2, "", None)]))[0].collect()} == {0}
 
 
+def test_the_cut_is_found_in_ranges_of_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{i % 4}") for i in range(500)], "doc_id long, text string, source string")
+    plain = sorted(map(repr, mixing.mix_sources(df)[0].collect()))
+    monkeypatch.setattr(mixing, "CUT_ROWS", 7)
+    assert sorted(map(repr, mixing.mix_sources(df)[0].collect())) == plain
+
+
 def test_mixing_leaves_out_a_giant_document(spark):
     rows = [(i, words(i, 10), "a") for i in range(10)] + [(10, words(10, 300), "b")]
     documents, mix = mixing.mix_sources(table(spark, rows))
@@ -175,7 +183,7 @@ def test_language_edges(spark):
     assert {i: p.lang for i, p in got.items()} == {1: "en", 2: "und", 3: "und", 4: "und", None: "en", 5: "en"} and got[2].score == 0
     nothing = langid.train(docs.where("false"))
     assert {r.prediction.lang for r in langid.predict(docs, nothing).collect()} == {"und"}
-    two = langid.Model(__import__("pandas").DataFrame([(0, "le", "fr", 9), (0, "the", "en", 9), (3, "the", "en", 9), (3, "^le", "fr", 9), (1, "z", "fr", 1)], columns=["n", "gram", "lang", "c"]))
+    two = langid.Model(pa.table({"n": [0, 0, 3, 3, 1], "gram": ["le", "the", "the", "^le", "z"], "lang": ["fr", "en", "en", "fr", "fr"], "c": [9, 9, 9, 9, 1]}))
     assert two.rows_of("the") == [two.tables[0]["the"]] and two.rows_of("lex") == [two.tables[3]["^le"]] and two.rows_of("qz") == [two.tables[1]["z"]] and two.rows_of("q") == [0]
 
 
@@ -265,7 +273,9 @@ def test_cascade_counts_what_earlier_rules_let_pass():
 
 def test_letters_are_letters():
     signs = "½ ² ① Ⅷ ৪ ٣ 7 _ !"
-    assert not quality.LETTER.search(signs) and not langid.words_of(signs) and langid.words_of("Été, 日本ß x²") == ["été", "日本ß", "x"]
+    assert not langid.words_of(signs) and langid.words_of("Été, 日本ß x²½y") == ["été", "日本ß", "x", "y"]
+    judge = lambda w: quality.RULES["words_without_letters"](quality.Page(f"{w} " * 20))
+    assert [judge(w) for w in ("½", "Ⅷ²", "٣", "½a", "日²", "-é-")] == [True, True, True, False, False, False]
 
 
 # 6
