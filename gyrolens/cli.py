@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrolens.config import AuditConfig
-from gyrolens.operators import audit, compare, corruption, replay
+from gyrolens.functions.expressions import status
+from gyrolens.operators import audit, benchmark, compare, corruption, replay
 from gyrolens.plans import artifacts
 from gyrolens.sources import readers
 
@@ -24,6 +25,12 @@ def _frames(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
     return imu, found.get("sessions", readers.describe_sessions(imu, gps)), gps
 
 
+def _rated(spark: SparkSession, root: str) -> DataFrame:
+    """Rows with their session's nominal rate."""
+    imu, sessions, _ = _frames(spark, root)
+    return replay.with_rate(imu, sessions if "nominal_hz" in sessions.columns else readers.describe_sessions(imu))
+
+
 def _audit(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, windows and summary. Windows and sessions feed several artifacts, so they are kept (and spill to disk)."""
     imu, sessions, gps = _frames(spark, root)
@@ -40,11 +47,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         readers.save_sessions(readers.ingest_tabular(spark, args.source, mapping), args.out)
         artifacts.dump_json(spark, f"{args.out}/ingest_summary.json", readers.preflight(spark, args.source, mapping))
         return 0
-    imu, windows, summary = _audit(spark, args.root)
+    imu, windows, summary = _audit(spark, args.root)  # lazy: commands that don't read it never run it
     if args.command == "audit":
         batch = artifacts.save_batch(spark, summary, args.out)
         audit.window_issues(windows).write.mode("overwrite").json(f"{args.out}/issues")
         summary.write.mode("overwrite").json(f"{args.out}/audit_summary")
+        if args.warning_below is not None or args.fail_below is not None:  # statuses of the gate, beside those of the audit
+            gate = status(F.col("trust_score"), args.warning_below if args.warning_below is not None else AuditConfig().warning, args.fail_below if args.fail_below is not None else AuditConfig().fail)
+            summary.select("session_id", "trust_score", gate.alias("status")).write.mode("overwrite").json(f"{args.out}/gate")
         print(artifacts.format_summary({k: batch[k] for k in ("session_count", "counts", "worst", "best")}, args.format))
         return int(args.fail_below is not None and any(r["trust_score"] < args.fail_below for r in batch["rows"]))
     if args.command == "export":
@@ -54,23 +64,36 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.command == "compare":
         one = lambda s: summary.where(F.col("session_id") == s)
         pair = compare.compare_sessions(one(args.a).withColumn("pair", F.lit(1)), one(args.b).withColumn("pair", F.lit(1)), ["pair"])
-        row = pair.withColumn("fails", compare.gate_fails(F.col("recommendation"), F.col("trust_delta"), args.fail_on)).first().asDict()
+        row = pair.withColumn("fails", compare.gate_fails(F.col("recommendation"), F.col("trust_delta"), args.fail_on, args.trust_drop_threshold)).first().asDict()
+        if args.redact:
+            row = {k: "-" if k in ("session_a", "session_b", "subject_id", "source_path") else v for k, v in row.items()}
         artifacts.write_text(spark, args.out, artifacts.compare_report(row))
+        if args.json_out:
+            artifacts.dump_json(spark, args.json_out, {"artifact_type": "compare_report"} | row)
         print(artifacts.format_summary(row, args.format))
         return int(row["fails"])
     elif args.command == "corrupt":
         changed = corruption.corrupt(imu, args.preset).withColumn("session_id", corruption.corrupted_id(F.col("session_id"), args.preset))
         readers.save_sessions({"imu": changed}, args.out)
     elif args.command == "replay":
-        replay.replay(imu, args.baseline).write.mode("overwrite").partitionBy("session_id").parquet(args.out)
+        benchmark.replay_track(_rated(spark, args.root), args.baseline).write.mode("overwrite").partitionBy("session_id").parquet(args.out)
+    elif args.command == "benchmark":
+        metrics = benchmark.benchmark(_rated(spark, args.root), readers.load_sessions(spark, args.root).get("ground_truth"), args.task).persist()
+        metrics.write.mode("overwrite").json(f"{args.out}/metrics")
+        benchmark.primary_metric(metrics, *benchmark.PRIMARY[args.task]).write.mode("overwrite").json(f"{args.out}/primary")
     elif args.command == "validate-trustscore":
-        everything = corruption.all_presets(imu)
-        described = readers.describe_sessions(everything)
-        no_gps = spark.createDataFrame([], "session_id string, row_idx long, t_ms long, valid boolean")
-        parts = F.split("session_id", "__")
-        scored = audit.audit_summary(everything, described, no_gps).withColumns({"base_id": parts[0], "preset": F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise("clean")})
-        rows = compare.validate(scored)
-        artifacts.dump_json(spark, args.out, {"artifact_type": "batch_trustscore_validation", "presets": [r.asDict() for r in rows.collect()], "sessions": [r.asDict() for r in compare.validation_summary(rows).collect()]})
+        _, sessions, gps = _frames(spark, args.root)
+        # Corrupted copies keep their session's sensors, limits and GPS; only the rows change. They are written once, for the audit reads them often.
+        copies = {"imu": corruption.all_presets(imu).drop("preset"), "sessions": corruption.copies_of(sessions), "gps": corruption.copies_of(gps)}
+        for name, df in copies.items():
+            df.write.mode("overwrite").parquet(f"{args.out}/copies/{name}")
+            copies[name] = spark.read.schema(df.schema).parquet(f"{args.out}/copies/{name}")
+        scored = corruption.base_and_preset(audit.audit_summary(*copies.values(), AuditConfig.in_memory()))
+        rows = compare.validate(scored).persist()
+        rows.write.mode("overwrite").json(f"{args.out}/presets")
+        compare.validation_summary(rows).write.mode("overwrite").json(f"{args.out}/sessions")
+        counts = compare.validation_summary(rows).agg(F.count(F.lit(1)).alias("session_count"), F.count_if("all_non_improving").alias("non_improving_count")).first()
+        artifacts.dump_json(spark, f"{args.out}/validation.json", {"artifact_type": "batch_trustscore_validation"} | counts.asDict())
     return 0
 
 
@@ -88,12 +111,13 @@ def parser() -> argparse.ArgumentParser:
 
     form = (["--format"], {"default": "text", "choices": ("text", "markdown", "json")})
     command("ingest", (["source"], {}), (["--mapping"], {"required": True}), root=False)
-    command("audit", (["--fail-below"], {"type": float}), form)
-    command("export", (["--profile"], {"default": "canonical"}), (["--format"], {"default": "parquet"}), (["--threshold"], {"type": float, "default": AuditConfig().warning}), (["--code"], {"action": "append", "default": []}))
+    command("audit", (["--fail-below"], {"type": float}), (["--warning-below"], {"type": float}), form)
+    command("export", (["--profile"], {"default": "canonical"}), (["--format"], {"default": "parquet"}), (["--threshold"], {"type": float, "default": AuditConfig().warning}), (["--code", "--reason-code"], {"action": "append", "default": [], "dest": "code"}))
     command("report", (["--session"], {"required": True}), (["--redact"], {"action": "store_true"}))
-    command("compare", (["a"], {}), (["b"], {}), (["--fail-on"], {"default": "never", "choices": ("never", "regression", "mixed")}), form)
+    command("compare", (["a"], {}), (["b"], {}), (["--fail-on"], {"default": "never", "choices": ("never", "regression", "mixed")}), (["--trust-drop-threshold"], {"type": float, "default": compare.THRESHOLD}), (["--json-out"], {}), (["--redact"], {"action": "store_true"}), form)
     command("corrupt", (["--preset"], {"required": True, "choices": corruption.PRESETS}))
-    command("replay", (["--baseline"], {"default": "madgwick", "choices": ("madgwick", "mahony")}))
+    command("replay", (["--baseline"], {"default": "madgwick", "choices": benchmark.BASELINES}))
+    command("benchmark", (["--task"], {"required": True, "choices": tuple(benchmark.PRIMARY)}))
     command("validate-trustscore")
     return p
 

@@ -62,6 +62,14 @@ class ReplayConfig:
     trajectory_tolerance_ms: int = 300
 
 
+@dataclass(frozen=True)
+class LimitConfig:
+    """Rows of a session at most; 0 is no limit."""
+
+    replay_max_rows: int = 500_000
+    benchmark_max_rows: int = 500_000
+
+
 @dataclass(frozen=True)
 class HarConfig:
     window_ms: int = 2000

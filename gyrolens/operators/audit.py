@@ -116,6 +116,11 @@ def window_issues(windows: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataF
     ).withColumn("message", F.concat(F.regexp_replace("code", "_", " "), F.lit(" detected")))
 
 
+def load_issues(spark, path: str) -> DataFrame:
+    """Issues that were written as JSON."""
+    return spark.read.schema("session_id string, win_idx long, code string, severity string, start_ms long, end_ms long, message string").json(path)
+
+
 def gyro_bias_drift(windows: DataFrame) -> DataFrame:
     """Largest distance of a static window's mean rate from the first one's; 0 with fewer than two."""
     static = windows.where("is_static")
@@ -129,7 +134,7 @@ def session_scores(imu: DataFrame, windows: DataFrame, sessions: DataFrame, gps:
     """Scores, totals of penalties (t_<code>), reason codes and status of each session; sessions without windows score 0.92."""
     sums = windows.groupBy("session_id").agg(F.count(F.lit(1)).alias("window_count"), F.avg("trust_score").alias("window_mean"), F.avg(F.col("is_static").cast("int")).alias("static_window_ratio"), *[F.sum(f"p_{k}").alias(f"t_{k}") for k in WINDOW_CODES])
     zero = F.lit(0.0)
-    rows = imu.select("session_id").distinct().join(sums, "session_id", "left").join(gyro_bias_drift(windows), "session_id", "left").join(gps, "session_id").join(sessions, "session_id")
+    rows = imu.select("session_id").distinct().join(sums, "session_id", "left").join(gyro_bias_drift(windows), "session_id", "left").join(gps, "session_id").join(sessions.select("session_id", "has_mag", "has_gps", "has_pressure"), "session_id")
     rows = rows.fillna(0.0, ["static_window_ratio", "gyro_bias_drift_rads", *[f"t_{k}" for k in WINDOW_CODES]]).fillna(0, ["window_count"]).fillna(1.0, ["window_mean"])
     short = cfg.static_ratio_warn - F.col("static_window_ratio")
     off = F.coalesce(F.col("has_gps") & ((F.col("gps_alignment_ratio") < cfg.gps_align_low) | (F.col("gps_alignment_ratio") > cfg.gps_align_high)), F.lit(False))

@@ -1,4 +1,4 @@
-"""Ranking, comparison and validation of audited sessions (W13, G1, G2, G5, G10, J3, J4, T4, V1-V5, V8, and of V6 and V7 what concerns the trust score)."""
+"""Ranking, comparison and validation of audited sessions."""
 
 from __future__ import annotations
 
@@ -96,8 +96,23 @@ def validate(summary: DataFrame) -> DataFrame:
     return rows.select("base_id", "preset", "clean_score", "trust_score", delta.alias("trust_score_delta"), non_improving.alias("non_improving"), zero.alias("limitation"))
 
 
-def validation_summary(validated: DataFrame) -> DataFrame:
-    return validated.groupBy("base_id").agg(F.bool_and("non_improving").alias("all_non_improving"), F.array_sort(F.array_compact(F.collect_list("limitation"))).alias("known_limitations"))
+def validation_summary(validated: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
+    """base_id, all_non_improving, known_limitations. deltas (base_id, preset, metric, delta): presets without any are a limitation too."""
+    if deltas is not None:
+        some = deltas.select("base_id", "preset").distinct().withColumn("__some", F.lit(True))
+        without = F.when(F.col("__some").isNull(), F.concat("preset", F.lit(" had no replay or benchmark metric in common with the clean session.")))
+        validated = validated.join(some, ["base_id", "preset"], "left").withColumn("limitation", F.array_compact(F.array("limitation", without))).drop("__some")
+        texts = F.flatten(F.collect_list("limitation"))
+    else:
+        texts = F.array_compact(F.collect_list("limitation"))
+    return validated.groupBy("base_id").agg(F.bool_and("non_improving").alias("all_non_improving"), F.array_sort(texts).alias("known_limitations"))
+
+
+def preset_deltas(metrics: DataFrame) -> DataFrame:
+    """base_id, preset, baseline, metric, delta: metrics (base_id, preset, baseline, metric, value) of corrupted sessions less those of the clean one, where both have them (V6)."""
+    keys = ["base_id", "baseline", "metric"]
+    clean = metrics.where("preset = 'clean'").select(*keys, F.col("value").alias("__c"))
+    return metrics.where("preset <> 'clean'").join(clean, keys).select("base_id", "preset", "baseline", "metric", (F.col("value") - F.col("__c")).alias("delta"))
 
 
 def delta_stats(deltas: DataFrame) -> DataFrame:

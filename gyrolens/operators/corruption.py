@@ -43,6 +43,19 @@ def corrupted_id(session_id: Column, preset: str) -> Column:
     return F.concat(session_id, F.lit(f"__{preset}"))
 
 
+def copies_of(df: DataFrame) -> DataFrame:
+    """What belongs to sessions (their facts, their GPS), for the clean ones and each corrupted copy."""
+    return reduce(DataFrame.unionByName, [df.withColumn("session_id", corrupted_id(F.col("session_id"), p)) for p in PRESETS], df)
+
+
+def base_and_preset(df: DataFrame) -> DataFrame:
+    """df with base_id and preset (clean, or the corruption's), from the session ids."""
+    parts = F.split("session_id", "__")
+    known = F.element_at(parts, -1).isin(*PRESETS) & (F.size(parts) > 1)
+    base = F.when(known, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "__")).otherwise(F.col("session_id"))
+    return df.withColumns({"base_id": base, "preset": F.when(known, F.element_at(parts, -1)).otherwise("clean")})
+
+
 def all_presets(imu: DataFrame) -> DataFrame:
     """Clean sessions and their five corrupted copies, told apart by preset and session id."""
     clean = imu.withColumn("preset", F.lit("clean"))

@@ -27,11 +27,16 @@ def step_candidates(imu: DataFrame, width: int, cfg: ReplayConfig = ReplayConfig
 
 
 def accept_steps(candidates: DataFrame, min_interval_ms: int = 280) -> DataFrame:
-    """Greedy in time: a peak counts if it is min_interval_ms or more after the last one that did. Candidates are few (at most one in two rows, after the threshold)."""
+    """Greedy in time: a peak counts if it is min_interval_ms or more after the last one that did.
+
+    A candidate that far after the one before it counts whatever came earlier, so candidates are cut there into chains, which are short and folded separately."""
+    gap = F.col("t_ms") - F.lag("t_ms").over(_in_time())
+    begins = F.coalesce((gap >= min_interval_ms).cast("int"), F.lit(1))
+    candidates = candidates.withColumn("__chain", F.sum(begins).over(_in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     peaks = F.array_sort(F.collect_list(F.struct("t_ms", "row_idx", "dynamic")))
     start = F.struct(F.lit(-(10**9)).cast("long").alias("last"), F.array().cast("array<struct<t_ms:bigint,row_idx:bigint,dynamic:double>>").alias("kept"))
     take = lambda s, p: F.when(p["t_ms"] - s["last"] < min_interval_ms, s).otherwise(F.struct(p["t_ms"].alias("last"), F.array_append(s["kept"], p).alias("kept")))
-    folded = candidates.groupBy("session_id").agg(peaks.alias("__p")).select("session_id", F.aggregate("__p", start, take, lambda s: s["kept"]).alias("__k"))
+    folded = candidates.groupBy("session_id", "__chain").agg(peaks.alias("__p")).select("session_id", F.aggregate("__p", start, take, lambda s: s["kept"]).alias("__k"))
     return folded.select("session_id", F.inline("__k"))
 
 

@@ -102,6 +102,11 @@ def orient(gyro: np.ndarray, acc: np.ndarray, mag: np.ndarray | None, hz: float,
     return out
 
 
+def with_rate(imu: DataFrame, sessions: DataFrame) -> DataFrame:
+    """imu with hz, the nominal rate of its session (sessions.nominal_hz; null where unknown)."""
+    return imu.drop("hz").join(sessions.select("session_id", F.col("nominal_hz").cast("double").alias("hz")), "session_id", "left")
+
+
 def replay(imu: DataFrame, method: str, cfg: ReplayConfig = ReplayConfig()) -> DataFrame:
     """session_id, row_idx, t_ms, quaternion and angles for each row. imu may bring hz; it is 100 where missing."""
     if method not in ("madgwick", "mahony"):

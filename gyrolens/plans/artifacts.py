@@ -5,7 +5,9 @@ Data goes out through Spark's writers. Only summaries (a row for each session) a
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import json
 
 from pyspark.sql import DataFrame, Window
@@ -57,7 +59,8 @@ def export_sessions(imu: DataFrame, windows: DataFrame, path: str, profile: str
     reasons = {} if profile == "canonical" else {r["code"]: r["n"] for r in intervals.reason_counts(dropped).orderBy("code").collect()}
     return {
         "artifact_type": "export_summary", "artifact_schema_version": ARTIFACT_SCHEMA_VERSION, "profile": profile, "format": kind, "rows_in": n, "rows_kept": kept, "rows_removed": n - kept,
-        "kept_ratio": kept / n if n else 0.0, "dropped_windows": 0 if profile == "canonical" else dropped.count(), "reason_counts": reasons,
+        "kept_ratio": kept / n if n else 0.0, "dropped_windows": 0 if profile == "canonical" else dropped.count(), "reason_counts": reasons, "written_files": out.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).count(),
+        "coverage_by_reason": {code: k / max(1, sum(reasons.values())) for code, k in reasons.items()},
     }
 
 
@@ -73,8 +76,10 @@ def save_batch(spark, summary: DataFrame, path: str) -> dict:
     batch = batch_summary(summary)
     for name in ("batch_summary.json", "batch_audit_summary.json"):
         dump_json(spark, f"{path}/{name}", batch)
-    lines = ["rank,session_id,trust_score,status,reason_codes", *(f"{r['rank']},{r['session_id']},{r['trust_score']},{r['status']},{'|'.join(r['reason_codes'])}" for r in batch["rows"])]
-    write_text(spark, f"{path}/batch_rankings.csv", "\n".join(lines) + "\n")
+    lines = io.StringIO()
+    sheet = csv.writer(lines, lineterminator="\n")
+    sheet.writerows([("rank", "session_id", "trust_score", "status", "reason_codes"), *((r["rank"], r["session_id"], r["trust_score"], r["status"], "|".join(r["reason_codes"])) for r in batch["rows"])])
+    write_text(spark, f"{path}/batch_rankings.csv", lines.getvalue())
     write_text(spark, f"{path}/batch_report.html", page("Batch audit", [("Status", table(["status", "sessions"], batch["counts"].items())), ("Ranking, worst first", table(["rank", "session", "score", "status", "reasons"], [(r["rank"], r["session_id"], f"{r['trust_score']:.3f}", r["status"], ", ".join(r["reason_codes"])) for r in batch["rows"]]))]))
     return batch
 
@@ -116,7 +121,9 @@ def session_report(session_id: str, summary: DataFrame, windows: DataFrame, issu
     timeline = [(r.start_ms, r.trust_score) for r in downsample(of(windows).withColumns({"t_ms": F.col("start_ms"), "row_idx": F.col("win_idx")}), max_points).orderBy("start_ms").collect()]
     signal = [(r.t_ms, r.ax) for r in downsample(of(imu).where(F.col("ax").isNotNull()), max_points).orderBy("t_ms").collect()]
     found = of(issues).orderBy("win_idx", "code").limit(30).collect()
-    reasons = [(REASONS[c][0], REASONS[c][1]) for c in row["reason_codes"][:4]]
+    first = of(issues).groupBy("code").agg(F.min(F.struct("win_idx", "code")).alias("at")).orderBy("at").limit(4).collect()  # codes in the order of their first issue
+    codes = [r["code"] for r in first] or row["reason_codes"]
+    reasons = [(REASONS[c][0], REASONS[c][1]) for c in [*codes, *(c for c in row["reason_codes"] if c not in codes)][:4]]
     return page(
         f"Session {'-' if redact else session_id}",
         [

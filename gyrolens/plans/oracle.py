@@ -113,7 +113,7 @@ VALID = f"""{BASE}, imu6 AS ({PRESET_IMU}), ses6 AS ({_with_presets("ses")}), gp
 vv AS (SELECT split_part(session_id, '__', 1) AS base_id, split_part(session_id, '__', 2) AS preset, trust_score FROM sc),
 val AS (SELECT v.base_id, v.preset, c.trust_score AS clean_score, v.trust_score, v.trust_score - c.trust_score AS trust_score_delta, v.trust_score <= c.trust_score + 1e-9 AS non_improving FROM vv v JOIN vv c ON c.base_id = v.base_id AND c.preset = '' WHERE v.preset <> '')"""
 
-DROPPED = f"{BASE}, {windows()}, dw AS (SELECT * FROM win WHERE trust_score < 0.8 OR list_contains(reason_codes, 'timing_bad'))"
+DROPPED = f"{BASE}, {windows()}, dw AS (SELECT * FROM win WHERE trust_score < 0.55)"
 MERGED = f"""{DROPPED},
 mk AS (SELECT session_id, start_ms, end_ms, coalesce(start_ms > max(end_ms) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_new FROM dw WINDOW o AS (PARTITION BY session_id ORDER BY start_ms, end_ms)),
 isl AS (SELECT *, sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM mk),
@@ -144,6 +144,19 @@ ORIGIN = lambda t: f"SELECT session_id, row_idx, t_ms, x - first_value(x) OVER o
 SUMMARY_NUMBERS = ("trust_score", "static_window_ratio", "gyro_bias_drift_rads", "gps_alignment_ratio", *[f"t_{k}" for k in CODES])
 
 
+def smoothness(track: str) -> str:
+    return f"""(WITH a AS (SELECT *, yaw - lag(yaw) OVER ({ORD}) AS d FROM {track}), w AS (SELECT *, {WRAP("d")} AS s FROM a), u AS (SELECT *, CASE WHEN s = -pi() AND d > 0 THEN pi() ELSE s END AS e FROM w), z AS (SELECT session_id, abs(e - lag(e) OVER ({ORD})) AS dd FROM u)
+ SELECT session_id, 'path_smoothness' AS metric, coalesce(avg(dd), 0) AS value FROM z GROUP BY session_id)"""
+
+
+def drift(track: str) -> str:
+    return f"(WITH {near(track, 'told', 250, 'yaw', 'heading')} SELECT session_id, 'heading_drift_rad' AS metric, avg(abs({WRAP('yaw - m.heading')})) AS value FROM nr GROUP BY session_id)"
+
+
+TRACK_METRICS = f"""{BASE}, told AS (SELECT * FROM truth WHERE session_id NOT LIKE '%2' AND heading IS NOT NULL), half AS (SELECT * REPLACE (yaw / 2 AS yaw) FROM track),
+mt AS ({" UNION ALL ".join(f"SELECT session_id, '{name}' AS baseline, metric, value FROM {of(track)}" for name, track in (("first", "track"), ("second", "half")) for of in (smoothness, drift))})"""
+
+
 def oracle_sql() -> dict[str, str]:
     q = {
         "unit_conversions": f"""SELECT event_id, CAST(round_even(event_id * 0.5::DOUBLE, 0) AS BIGINT) AS half_ms, CAST(round_even(event_id * 1500 * 1e-3::DOUBLE, 0) AS BIGINT) AS us_ms, event_id * 1000 AS s_ms,
@@ -179,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "interval_merge": f"WITH {MERGED} SELECT * FROM mi",
         "qa_filtered_export": f"WITH {MERGED} SELECT session_id, row_idx, t_ms FROM imu WHERE NOT EXISTS (SELECT 1 FROM mi WHERE mi.session_id = imu.session_id AND imu.t_ms BETWEEN mi.start_ms AND mi.end_ms)",
         "dropped_reason_counts": f"WITH {DROPPED} SELECT code, count(*) AS n FROM (SELECT unnest(reason_codes) AS code FROM dw) GROUP BY code",
-        "compare_sessions": f"""WITH {BASE}, {scores()}, k AS (SELECT *, split_part(session_id, '_', 1) AS kind, split_part(session_id, '_', 2) AS num FROM sc),
+        "compare_sessions": f"""WITH {BASE}, {scores()}, k AS (SELECT *, split_part(session_id, '_', 1) || '_' || (CAST(split_part(session_id, '_', 2) AS INTEGER) // 2) AS kind, CAST(CAST(split_part(session_id, '_', 2) AS INTEGER) % 2 AS VARCHAR) AS num FROM sc),
  p AS (SELECT a.kind, b.trust_score - a.trust_score AS d, list_sort(list_filter(b.reason_codes, lambda c: NOT list_contains(a.reason_codes, c))) AS added, list_sort(list_filter(a.reason_codes, lambda c: NOT list_contains(b.reason_codes, c))) AS removed,
   b.t_timing_bad - a.t_timing_bad AS d1, b.static_window_ratio - a.static_window_ratio AS d2, b.gyro_bias_drift_rads - a.gyro_bias_drift_rads AS d3 FROM k a JOIN k b ON a.kind = b.kind AND a.num = '0' AND b.num = '1'),
  r AS (SELECT *, list_filter([CASE WHEN d <= -0.03 THEN 'trust_score dropped by ' || printf('%.3f', abs(d)) END, CASE WHEN len(added) > 0 THEN 'new reason codes: ' || array_to_string(added, ', ') END, CASE WHEN d3 > 0 THEN 'replay audit bias_drift worsened by ' || printf('%.3f', abs(d3)) END,
@@ -188,11 +201,11 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN d1 < 0 THEN 'replay audit jitter_error improved by ' || printf('%.3f', abs(d1)) END, CASE WHEN d2 > 0 THEN 'replay audit static_ratio improved by ' || printf('%.3f', abs(d2)) END], lambda c: c IS NOT NULL) AS better FROM p)
  SELECT kind, round(d, 6) AS trust_delta, array_to_string(added, ',') AS added, array_to_string(removed, ',') AS removed, array_to_string(worse, ';') AS regression_reasons, array_to_string(better, ';') AS improvement_reasons,
  CASE WHEN len(worse) > 0 AND len(better) > 0 THEN 'mixed' WHEN len(worse) > 0 THEN 'regressed' WHEN len(better) > 0 THEN 'improved' WHEN d > 0 THEN 'improved' WHEN d < 0 THEN 'regressed' ELSE 'mixed' END AS recommendation FROM r""",
-        "metadata_diff": f"""WITH {BASE}, k AS (SELECT split_part(session_id, '_', 1) AS kind, split_part(session_id, '_', 2) AS num, * FROM ses), l AS (SELECT num, kind || '.has_mag' AS key, CAST(has_mag AS VARCHAR) AS v FROM k UNION ALL SELECT num, kind || '.has_gps', CAST(has_gps AS VARCHAR) FROM k
+        "metadata_diff": f"""WITH {BASE}, k AS (SELECT split_part(session_id, '_', 1) || '_' || (CAST(split_part(session_id, '_', 2) AS INTEGER) // 2) AS kind, CAST(CAST(split_part(session_id, '_', 2) AS INTEGER) % 2 AS VARCHAR) AS num, * FROM ses), l AS (SELECT num, kind || '.has_mag' AS key, CAST(has_mag AS VARCHAR) AS v FROM k UNION ALL SELECT num, kind || '.has_gps', CAST(has_gps AS VARCHAR) FROM k
  UNION ALL SELECT num, kind || '.has_pressure', CAST(has_pressure AS VARCHAR) FROM k UNION ALL SELECT num, kind || '.acc_limit', CAST(acc_limit AS VARCHAR) FROM k)
- SELECT coalesce(a.key, b.key) AS key, a.v AS value_a, b.v AS value_b FROM (SELECT * FROM l WHERE num = '0') a FULL JOIN (SELECT * FROM l WHERE num = '2') b ON a.key = b.key WHERE a.v IS DISTINCT FROM b.v""",
+ SELECT coalesce(a.key, b.key) AS key, a.v AS value_a, b.v AS value_b FROM (SELECT * FROM l WHERE num = '0') a FULL JOIN (SELECT * FROM l WHERE num = '1') b ON a.key = b.key WHERE a.v IS DISTINCT FROM b.v""",
         "trust_validation": f"WITH {VALID} SELECT base_id, preset, non_improving, {rows(('clean_score', 'trust_score', 'trust_score_delta'))} FROM val",
-        "validation_summary": f"WITH {VALID} SELECT base_id, bool_and(non_improving) AS all_non_improving, CAST(count(*) FILTER (non_improving AND abs(trust_score_delta) < 1e-6) AS INTEGER) AS n_limitations FROM val GROUP BY base_id",
+        "validation_summary": f"WITH {VALID} SELECT base_id, bool_and(non_improving) AS all_non_improving, CAST(count(*) FILTER (non_improving AND abs(trust_score_delta) < 1e-6) AS INTEGER) AS n_limitations, coalesce(string_agg(CASE WHEN non_improving AND abs(trust_score_delta) < 1e-6 THEN preset || ' did not improve trust_score, but the delta was effectively zero.' END, ';' ORDER BY preset), '') AS known_limitations FROM val GROUP BY base_id",
         "validation_delta_stats": f"WITH {VALID} SELECT base_id AS metric, count(*) AS preset_count, round(avg(trust_score_delta), 6) AS average_delta, round(max(trust_score_delta), 6) AS max_delta, round(min(trust_score_delta), 6) AS min_delta FROM val GROUP BY base_id",
         "rolling_mean_centered": f"WITH {BASE} SELECT session_id, row_idx, round(avg(ax) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 9) AS even, round(avg(ax) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS odd FROM imu",
         "pdr_peaks": f"WITH RECURSIVE {BASE}, {CAND} SELECT session_id, row_idx, t_ms, round(dynamic, 6) AS dynamic FROM steps",
@@ -219,6 +232,18 @@ def oracle_sql() -> dict[str, str]:
  SELECT session_id, row_idx, round(CASE WHEN (w > 0.5 AND w < 1.5) OR (u > 0.5 AND u < 1.5) THEN ux * 9.80665::DOUBLE ELSE ux END, 6) AS ax, 0.0::DOUBLE AS ay, round(CASE WHEN w > 0.5 AND w < 1.5 THEN (uz + wz) * 9.80665::DOUBLE WHEN u > 0.5 AND u < 1.5 THEN uz * 9.80665::DOUBLE ELSE uz END, 6) AS az FROM r JOIN m USING (session_id)""",
         "describe_sessions": f"WITH {BASE} SELECT session_id, count(*) AS n_rows, true AS has_imu, count(mx) > 0 AS has_mag, count(pressure_pa) > 0 AS has_pressure, false AS has_temperature, count(activity_label) > 0 AS labels_available, session_id IN (SELECT session_id FROM gps) AS has_gps FROM imu GROUP BY session_id",
     }
+    q["replay_metrics"] = f"WITH {TRACK_METRICS} SELECT session_id, baseline, metric, round(value, 6) AS value FROM mt"
+    q["primary_metric"] = f"""WITH {TRACK_METRICS}, g AS (SELECT session_id, avg(value) FILTER (metric = 'heading_drift_rad') AS p, avg(value) FILTER (metric = 'path_smoothness') AS f FROM mt GROUP BY session_id)
+ SELECT session_id, CASE WHEN p IS NOT NULL THEN 'heading_drift_rad' WHEN f IS NOT NULL THEN 'path_smoothness' END AS primary_metric_name, round(coalesce(p, f), 6) AS primary_metric_value FROM g"""
+    q["preset_metric_deltas"] = f"""WITH {BASE}, imu6 AS ({PRESET_IMU}), g AS (SELECT split_part(session_id, '__', 1) AS base_id, split_part(session_id, '__', 2) AS preset, CAST(count(*) AS DOUBLE) AS rows, avg(gx) AS mean_gx, avg(mx) AS mean_mx FROM imu6 GROUP BY 1, 2),
+ l AS (UNPIVOT g ON rows, mean_gx, mean_mx INTO NAME metric VALUE value) SELECT a.base_id, a.preset, a.metric, round(a.value - c.value, 6) AS delta FROM l a JOIN l c ON a.base_id = c.base_id AND a.metric = c.metric AND c.preset = '' WHERE a.preset <> ''"""
+    q["downsampled"] = f"""WITH {BASE}, n AS (SELECT session_id, row_idx, t_ms, row_number() OVER ({ORD}) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM imu)
+ SELECT session_id, row_idx, t_ms FROM n WHERE n <= 37 OR list_contains([(j * (n - 1)) // 36 FOR j IN range(37)], i)"""
+    q["gate_statuses"] = f"WITH {BASE}, {scores()} SELECT session_id, CASE WHEN trust_score < 0.5 THEN 'fail' WHEN trust_score < 0.7 THEN 'warning' ELSE 'pass' END AS status, trust_score < 0.5 AS fails FROM sc"
+    q["first_reasons"] = f"""WITH {BASE}, {windows()}, f AS (SELECT session_id, code, min(win_idx) AS win_idx FROM (SELECT session_id, win_idx, unnest(reason_codes) AS code FROM win) GROUP BY session_id, code)
+ SELECT * FROM (SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY win_idx, code) AS INTEGER) AS place, code, win_idx FROM f) WHERE place <= 4"""
+    q["export_counts"] = f"""WITH {MERGED}, k AS (SELECT session_id, NOT EXISTS (SELECT 1 FROM mi WHERE mi.session_id = imu.session_id AND imu.t_ms BETWEEN mi.start_ms AND mi.end_ms) AS kept FROM imu)
+ SELECT session_id, count(*) AS rows_in, count(*) FILTER (kept) AS rows_kept FROM k GROUP BY session_id"""
     for name, memory in (("window_metrics", False), ("window_metrics_memory", True)):
         q[name] = f"WITH {BASE}, {windows(memory)} SELECT session_id, win_idx, n, start_ms, end_ms, {rows(METRICS)} FROM win"
     for name, memory in (("window_penalties_stream", False), ("window_penalties_memory", True)):

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from gyrolens.config import GRAVITY
 from gyrolens.functions import expressions as X
+from gyrolens.operators import sampling
 from gyrolens.schema import GPS, IMU, TRUTH, normalise
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet"}
+#: Entries of a mapping's metadata that are kept with the session, and names of full scales (fixed values).
+FACTS = ("dataset", "task", "reference_type", "subject_id", "body_location", "device_pose", "label_namespace")
+FULL_SCALE = ("acc_mps2", "gyro_rads", "mag_uT")
 SIGNALS = {"acc": (("ax", "ay", "az"), X.acceleration), "gyro": (("gx", "gy", "gz"), X.angle), "mag": (("mx", "my", "mz"), X.magnetic)}
 
 
@@ -74,6 +78,7 @@ def from_table(df: DataFrame, mapping: dict, session_id: str, order: Column | No
         columns["pressure_pa"] = X.pressure(F.col(imu["pressure_col"]), imu.get("pressure_unit", "Pa"))
     if "label_col" in imu:
         columns["activity_label"] = F.col(imu["label_col"])
+    meta = mapping.get("metadata") or {}
     pick = lambda cols: base.select("session_id", "row_idx", *[c.alias(n) for n, c in cols.items()])
     frames = {"imu": normalise(pick(columns), IMU)}
     if gps := mapping.get("gps"):
@@ -87,19 +92,31 @@ def from_table(df: DataFrame, mapping: dict, session_id: str, order: Column | No
         if "heading_col" in truth:
             cols["heading"] = X.angle(F.col(truth["heading_col"]), truth.get("heading_unit", "rad"))
         frames["ground_truth"] = normalise(pick(cols), TRUTH)
+    scale = (meta.get("extra") or {}).get("full_scale") or meta.get("full_scale") or {}
+    rows = describe_sessions(frames["imu"], frames.get("gps"), tuple(scale.get(k) for k in FULL_SCALE))
+    facts = {k: F.lit(meta.get(k)).cast("string") for k in FACTS}
+    facts["task"] = F.lit(meta.get("task") or "orientation")
+    facts["dataset"] = F.lit(meta.get("dataset") or "tabular")
+    if "ground_truth" in frames and not meta.get("reference_type"):
+        facts["reference_type"] = F.lit("trajectory")
+    notes = F.array(*map(F.lit, meta.get("notes") or ())).cast("array<string>")
+    rate = F.lit(meta["nominal_hz"]).cast("double") if meta.get("nominal_hz") else F.col("nominal_hz")
+    frames["sessions"] = rows.withColumns(facts | {"notes": notes, "nominal_hz": rate, "ground_truth_available": F.lit("ground_truth" in frames)})
     return frames
 
 
 def ingest_tabular(spark: SparkSession, path: str, mapping: dict, session_id: str | None = None) -> dict[str, DataFrame]:
     df = read_table(spark, path, mapping.get("format"), mapping.get("delimiter"))
-    return from_table(df, mapping, session_id or os.path.splitext(os.path.basename(path))[0])
+    named = session_id or (mapping.get("metadata") or {}).get("session_id") or os.path.splitext(os.path.basename(path))[0]
+    return from_table(df, mapping, named)
 
 
 def preflight(spark: SparkSession, path: str, mapping: dict) -> dict:
     """Format, bytes on disk, rows, an estimate of memory and the columns that would be read."""
     df = read_table(spark, path, mapping.get("format"), mapping.get("delimiter"))
     rows = df.count()
-    return {"source_format": resolve_format(path, mapping.get("format")), "estimated_rows": rows, "estimated_imu_memory_bytes": rows * 8 * len(IMU), "files": len(df.inputFiles()), "columns": sorted(_mapped(mapping))}
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles() if os.path.exists(f.removeprefix("file://")))
+    return {"source_bytes": size, "sample": [r.asDict() for r in df.limit(5).collect()], "source_format": resolve_format(path, mapping.get("format")), "estimated_rows": rows, "estimated_imu_memory_bytes": rows * 8 * len(IMU), "files": len(df.inputFiles()), "columns": sorted(_mapped(mapping))}
 
 
 # Text logs.
@@ -168,6 +185,46 @@ def join_notes(sessions: DataFrame, notes: DataFrame) -> DataFrame:
 # Headerless and HDF5 recordings.
 
 
+def resolve_log(path: str) -> str:
+    """A log file, or the first .txt or .csv of a folder in order of names."""
+    if not os.path.isdir(path):
+        return path
+    names = sorted(n for n in os.listdir(path) if n.lower().endswith((".txt", ".csv")))
+    if not names:
+        raise ValueError(f"No .txt or .csv file in {path}")
+    return os.path.join(path, names[0])
+
+
+def detect(path: str) -> str | None:
+    """The reader that a file or folder looks made for, by names alone."""
+    names = sorted(os.listdir(path)) if os.path.isdir(path) else [os.path.basename(path)]
+    low = [n.lower() for n in names]
+    if any(n.endswith((".h5", ".hdf5")) for n in low):
+        return "hdf5"
+    if any(n.startswith("imu") and n.endswith(".csv") for n in low):
+        return "positional"
+    if any(os.path.splitext(n)[1] in FORMATS for n in low) and not os.path.isdir(path):
+        return "tabular"
+    return "labelled_lines" if any(n.endswith((".txt", ".csv")) for n in low) else None
+
+
+def ingest_positional(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All imu*.csv of a folder as sessions, with the truth of the vi*.csv of the same number beside them."""
+
+    def rows(prefix: str) -> DataFrame | None:
+        files = sorted(n for n in os.listdir(folder) if n.lower().startswith(prefix) and n.lower().endswith(".csv"))
+        if not files:
+            return None
+        read = spark.read.csv([os.path.join(folder, n) for n in files])
+        number = F.regexp_extract(F.input_file_name(), rf"(?i)/{prefix}([^/]*)\.csv$", 1)
+        return read.withColumns({"session_id": F.concat(F.lit("imu"), number), "row_idx": F.monotonically_increasing_id()})
+
+    imu = rows("imu")
+    if imu is None:
+        raise ValueError(f"No imu*.csv in {folder}")
+    return from_positional(imu, rows("vi"))
+
+
 def from_positional(imu: DataFrame, truth: DataFrame | None = None) -> dict[str, DataFrame]:
     """Headerless rows _c0.. (with session_id, row_idx): time, attitude x3, rates x3, gravity x3, user acceleration x3, field x3. Accelerations in g are told by their median norm."""
     d = lambda i: F.col(f"_c{i}").cast("double")
@@ -238,11 +295,13 @@ def load_sessions(spark: SparkSession, root: str, frames: tuple[str, ...] = ("im
 
 
 def describe_sessions(imu: DataFrame, gps: DataFrame | None = None, full_scale: tuple[float | None, float | None, float | None] = (None, None, None)) -> DataFrame:
-    """sessions frame: which sensors have values, limits of full scale, label and row facts."""
+    """sessions frame: which sensors have values, limits of full scale, nominal rate (median of positive steps; null if none), label and row facts."""
     some = lambda *cols: F.count(F.coalesce(*cols)) > 0
     rows = imu.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_rows"), some("ax", "gx").alias("has_imu"), some("mx", "my", "mz").alias("has_mag"), some("pressure_pa").alias("has_pressure"), some("temp_c").alias("has_temperature"), some("activity_label").alias("labels_available")
     )
+    rates = sampling.sampling_stats(imu, positive=True).select("session_id", F.nullif(F.col("nominal_hz"), F.lit(0.0)).alias("nominal_hz"))
+    rows = rows.join(rates, "session_id")
     limits = {n: F.lit(v).cast("double") for n, v in zip(("acc_limit", "gyro_limit", "mag_limit"), full_scale)}
     if gps is None:
         return rows.withColumns({"has_gps": F.lit(False)} | limits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gyrolens.config import AuditConfig
 from gyrolens.functions import expressions as X
-from gyrolens.operators import asof, audit, compare, corruption, har, intervals, motion, replay, sampling
+from gyrolens.operators import asof, audit, benchmark, compare, corruption, har, intervals, motion, replay, sampling
 from gyrolens.schema import GPS, IMU, normalise
 from gyrolens.sources import readers
 
@@ -170,6 +170,62 @@ def test_steps_wait(spark):
     assert sorted(r.t_ms for r in motion.accept_steps(c).collect()) == [0, 300, 600]
 
 
+def test_steps_against_the_greedy_rule(spark):
+    r = np.random.default_rng(3)
+    times = np.unique(r.integers(0, 60_000, 900))
+    rows = [(s, int(t), int(t), 2.0) for s in "ab" for t in times[:: 1 + (s == "b")]]
+    got = {(x.session_id, x.t_ms) for x in motion.accept_steps(spark.createDataFrame(rows, "session_id string, row_idx long, t_ms long, dynamic double")).collect()}
+    want, last = set(), {}
+    for s, t, *_ in rows:
+        if t - last.get(s, -(10**9)) >= 280:
+            want.add((s, t))
+            last[s] = t
+    assert got == want
+
+
+def test_rates_limits_and_metadata(spark, tmp_path):
+    path = str(tmp_path / "turn.csv")
+    spark.createDataFrame([(20 * i, 0.0, 0.0, 9.80665, 0.0, 0.0, 0.5, 0.01 * i) for i in range(300)], "t long, a double, b double, c double, d double, e double, f double, h double").coalesce(1).write.option("header", True).csv(path)
+    mapping = {
+        "format": "csv", "imu": {"time_col": "t", "acc_cols": ["a", "b", "c"], "acc_unit": "mps2", "gyro_cols": ["d", "e", "f"], "gyro_unit": "radps"}, "ground_truth": {"position_cols": ["a", "b"], "heading_col": "h"},
+        "metadata": {"session_id": "turn", "task": "orientation", "subject_id": "p1", "extra": {"full_scale": {"acc_mps2": 9.9, "gyro_rads": 4.0}}},
+    }
+    frames = readers.ingest_tabular(spark, path, mapping)
+    row = frames["sessions"].first()
+    assert (row.session_id, row.nominal_hz, row.acc_limit, row.gyro_limit, row.mag_limit, row.subject_id, row.reference_type) == ("turn", 50.0, 9.9, 4.0, None, "p1", "trajectory")
+    imu = replay.with_rate(frames["imu"], frames["sessions"])
+    last = benchmark.replay_track(imu, "mahony").orderBy("t_ms").collect()[-1]
+    assert abs(last.yaw - 0.5 * 299 / 50) < 0.02  # half of that at 100 Hz
+    assert audit.audit_summary(frames["imu"], frames["sessions"], no_gps(spark)).first().clipping_ratio > 0.3
+    metrics = {(r.baseline, r.metric): r.value for r in benchmark.benchmark(imu, frames["ground_truth"], "orientation").collect()}
+    assert metrics.keys() == {(b, m) for b in ("madgwick", "mahony") for m in ("path_smoothness", "heading_drift_rad")} and max(v for (_, m), v in metrics.items() if m == "heading_drift_rad") < 0.05
+    walked = {r.metric: r.value for r in benchmark.benchmark(imu, frames["ground_truth"], "pdr").collect()}
+    assert walked["step_count"] == 0 and walked["trajectory_rmse_m"] == 0
+    with pytest.raises(ValueError, match="turn has 300"):
+        benchmark.enforce_row_limit(imu, 299, "replay")
+    with pytest.raises(ValueError, match="activity_label"):
+        benchmark.benchmark(imu, None, "har")
+
+
+def test_positional_files_and_detection(spark, tmp_path):
+    (tmp_path / "imu1.csv").write_text("\n".join(f"{i / 50},0,0,0,0,0,0,0,0,1,0.1,0,0,30,0,5" for i in range(60)))
+    (tmp_path / "vi1.csv").write_text("\n".join(f"{i / 50},0,{i},{0.3 * i},0,0,0,0,0" for i in range(60)))
+    frames = readers.ingest_positional(spark, str(tmp_path))
+    assert frames["imu"].count() == frames["ground_truth"].count() == 60 and abs(frames["imu"].first().az - 9.80665) < 1e-9
+    assert readers.detect(str(tmp_path)) == "positional" and readers.detect("x.parquet") == "tabular" and readers.detect("a.h5") == "hdf5"
+    assert readers.resolve_log(str(tmp_path)).endswith("imu1.csv")
+
+
+def test_presets_without_metrics_are_a_limitation(spark):
+    rows = spark.createDataFrame([("s__a", "clean", 0.9), ("s__a", "axis_flip_x", 0.8), ("s__a", "mag_bias_30ut", 0.9)], "base_id string, preset string, trust_score double")
+    deltas = compare.preset_deltas(spark.createDataFrame([("s__a", "clean", "pdr", "step_count", 3.0), ("s__a", "axis_flip_x", "pdr", "step_count", 5.0)], "base_id string, preset string, baseline string, metric string, value double"))
+    assert [r.delta for r in deltas.collect()] == [2.0]
+    row = compare.validation_summary(compare.validate(rows), deltas).first()
+    assert row.all_non_improving and [t.split()[0] for t in row.known_limitations] == ["mag_bias_30ut"] * 2
+    ids = spark.createDataFrame([("a__b",), ("a__b__axis_flip_x",)], "session_id string")
+    assert sorted(tuple(r)[1:] for r in corruption.base_and_preset(ids).collect()) == [("a__b", "axis_flip_x"), ("a__b", "clean")]
+
+
 def test_directions_and_gate(spark):
     names = ["trajectory_rmse", "macro_f1", "loss_ratio", "step_count"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "m string").select(compare.metric_direction(F.col("m"))).collect()]

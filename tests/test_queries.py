@@ -11,6 +11,10 @@ from gyrolens.plans import oracle, queries
 SF = "/root/testdata/sf0.001"
 
 
+#: Nothing to find in the smallest tables; rows are there in larger ones.
+EMPTY_AT_THIS_SIZE: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -36,7 +40,8 @@ def test_query_matches_sql(spark, duck, name):
     want = duck.execute(oracle.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
-    assert plain(got.collect(), got.columns) == plain(want.fetchall(), columns)
+    rows = want.fetchall()
+    assert plain(got.collect(), got.columns) == plain(rows, columns) and (rows or name in EMPTY_AT_THIS_SIZE)
 
 
 def test_every_sql_has_a_query():

@@ -27,6 +27,14 @@ def test_commands(spark, tmp_path):
     assert cli.main(["compare", root, "good", "bad", "--fail-on", "regression", "--out", str(tmp_path / "c.html")], spark) == 1
     assert cli.main(["report", root, "--session", "bad", "--out", str(tmp_path / "r.html")], spark) == 0
     assert "Irregular timing" in (tmp_path / "r.html").read_text()
+    assert cli.main(["compare", root, "good", "bad", "--fail-on", "regression", "--trust-drop-threshold", "0.9", "--json-out", str(tmp_path / "c.json"), "--out", str(tmp_path / "c.html")], spark) in (0, 1)
+    assert json.loads((tmp_path / "c.json").read_text())["recommendation"]
+    assert cli.main(["replay", root, "--baseline", "pdr", "--out", str(tmp_path / "pdr")], spark) == 0 and spark.read.parquet(str(tmp_path / "pdr")).count() == 1600
+    assert cli.main(["benchmark", root, "--task", "pdr", "--out", str(tmp_path / "bench")], spark) == 0
+    assert {r.primary_metric_name for r in spark.read.json(str(tmp_path / "bench" / "primary")).collect()} == {"step_count"}
+    assert cli.main(["validate-trustscore", root, "--out", str(tmp_path / "v")], spark) == 0
+    assert json.loads((tmp_path / "v" / "validation.json").read_text())["session_count"] == 2
+    assert audit.load_issues(spark, f"{out}/issues").where("code = 'timing_bad'").count() > 0
 
 
 def test_downsample_is_even(spark):
