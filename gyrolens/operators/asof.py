@@ -27,12 +27,10 @@ def nearest(left: DataFrame, right: DataFrame, tolerance_ms: int, columns: list[
     cells = F.sequence(F.floor((F.col("t_ms") - tolerance_ms) / cell_ms), F.floor((F.col("t_ms") + tolerance_ms) / cell_ms))
     b = right.select("session_id", F.explode(cells).alias("cell"), "t_ms", F.lit(0).alias("is_left"), F.col("row_idx").alias("ord"), F.lit(None).cast(f"struct<{','.join(f'{n}:{kinds[n]}' for n in names)}>").alias("l"), value.alias("v"))
     both = a.unionByName(b)
+    # Each window runs one way with a frame that only grows. In both, the last right row met is the nearest on that side and, at one time, the last.
     back = Window.partitionBy("session_id", "cell").orderBy("t_ms", "is_left", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("session_id", "cell").orderBy("t_ms", F.desc("is_left"), "ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # Looking ahead, the first row met at a time is not its last: its time is enough to choose, and the last at that time is what counts.
-    last_at = Window.partitionBy("session_id", "cell", "t_ms", "is_left").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = both.withColumn("v", F.when(F.col("is_left") == 0, F.last("v").over(last_at)))
-    found = both.withColumns({"b": F.last("v", ignorenulls=True).over(back), "f": F.first("v", ignorenulls=True).over(ahead)}).where("is_left = 1")
+    ahead = Window.partitionBy("session_id", "cell").orderBy(F.desc("t_ms"), "is_left", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumns({"b": F.last("v", ignorenulls=True).over(back), "f": F.last("v", ignorenulls=True).over(ahead)}).where("is_left = 1")
     nearer = F.col("f").isNull() | (F.col("b").isNotNull() & (F.col("t_ms") - F.col("b.t_ms") <= F.col("f.t_ms") - F.col("t_ms")))
     return found.withColumn("matched", F.when(nearer, F.col("b")).otherwise(F.col("f"))).where(F.abs(F.col("matched.t_ms") - F.col("t_ms")) <= tolerance_ms).select("session_id", "l.*", "matched")
 

@@ -166,10 +166,8 @@ def audit_summary(imu: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: Audi
     """One row for each session with all results of the audit (A18). windows: those of audit_windows, if they are at hand."""
     windows = audit_windows(imu, sessions, gps, cfg) if windows is None else windows
     scores = session_scores(imu, windows, sessions, gps_checks(imu, gps), cfg)
-    stats = sampling.sampling_stats(imu, cfg.positive_deltas).select("session_id", "duration_s", "nominal_hz", "jitter_ms")
-    stable = imu.groupBy("session_id").agg(F.stddev_pop("pressure_pa").alias("pressure_stability_pa"))
-    parts = [stats, stable, sampling.gap_ratio(imu, cfg.gap_factor), sampling.freeze_ratio(imu).select("session_id", "freeze_ratio"), sampling.clipping_ratio(imu, sessions)]
-    rows = reduce(lambda a, b: a.join(b, "session_id", "left"), parts, scores)
+    rows = scores.join(sampling.session_facts(imu, cfg.positive_deltas, cfg.gap_factor), "session_id", "left").join(sampling.session_levels(imu, sessions), "session_id", "left")
+    rows = rows.withColumn("duration_s", F.col("span_ms") / 1000.0)
     return rows.select(
         "session_id", "duration_s", "nominal_hz", "jitter_ms", "trust_score", "status", "window_count", "static_window_ratio", "gyro_bias_drift_rads", "clipping_ratio", "pressure_stability_pa",
         F.coalesce("gap_count", F.lit(0)).alias("missing_gap_count"), F.greatest(F.coalesce("dropout_ratio", F.lit(0.0)), "freeze_ratio").alias("dropout_ratio"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrolens.operators.sampling import running_max
+from gyrolens.operators.sampling import numbered, running_max
 
 PRESETS = ("packet_loss_5", "timestamp_jitter_3ms", "axis_flip_x", "gyro_bias_small", "mag_bias_30ut")
 SEED = 42
@@ -18,24 +18,35 @@ def scatter(row: Column, seed: int = SEED) -> Column:
     return F.pmod((F.pmod(row, F.lit(1000003)) + seed) * 7919 + F.pmod(row * row, F.lit(1000003)) * 104729, F.lit(1000003))
 
 
-def _shift(imu: DataFrame, by: dict[str, float]) -> DataFrame:
-    return imu.withColumns({c: F.col(c) + v for c, v in by.items()})
+#: What the presets of the channels add to them, and which they turn round (fixed values).
+BIAS = {"gyro_bias_small": {"gx": 0.03, "gy": -0.02, "gz": 0.015}, "mag_bias_30ut": {"mx": 30.0, "my": -15.0, "mz": 10.0}}
+FLIPPED = ("ax", "gx", "mx")
+SCATTER_CELL, ROW_CELL = 1000, 200_000
+
+
+def _with_loss(imu: DataFrame, seed: int) -> DataFrame:
+    """imu with __lost: a twentieth of the session's rows, and at least one."""
+    rows = imu.withColumn("__s", scatter(F.col("row_idx"), seed))
+    rows = numbered(rows, "__r", ("__s", "row_idx"), F.floor(F.col("__s") / SCATTER_CELL), total="__k")
+    lost = F.greatest(F.lit(1), F.rint(0.05 * F.col("__k"))).cast("long")
+    return rows.withColumn("__lost", F.col("__r") < lost).drop("__s", "__r", "__k")
+
+
+def _with_jitter(imu: DataFrame, seed: int) -> DataFrame:
+    """imu with __jittered: times moved by up to 3 ms, never back."""
+    moved = F.col("t_ms") + F.pmod(scatter(F.col("row_idx"), seed), F.lit(7)) - 3
+    return running_max(imu, moved, "__jittered", ("row_idx",), F.floor(F.col("row_idx") / ROW_CELL))
 
 
 def corrupt(imu: DataFrame, preset: str, seed: int = SEED) -> DataFrame:
     if preset == "packet_loss_5":
-        n = imu.groupBy("session_id").agg(F.greatest(F.lit(1), F.rint(0.05 * F.count(F.lit(1)))).cast("long").alias("__k"))
-        order = Window.partitionBy("session_id").orderBy(scatter(F.col("row_idx"), seed), "row_idx")
-        return imu.withColumn("__r", F.row_number().over(order)).join(n, "session_id").where(F.col("__r") > F.col("__k")).drop("__r", "__k")
+        return _with_loss(imu, seed).where(~F.col("__lost")).drop("__lost")
     if preset == "timestamp_jitter_3ms":
-        moved = imu.withColumn("t_ms", F.col("t_ms") + F.pmod(scatter(F.col("row_idx"), seed), F.lit(7)) - 3)
-        return moved.withColumn("t_ms", running_max(moved, "t_ms"))
+        return _with_jitter(imu, seed).withColumn("t_ms", F.col("__jittered")).drop("__jittered")
     if preset == "axis_flip_x":
-        return imu.withColumns({c: -F.col(c) for c in ("ax", "gx", "mx")})
-    if preset == "gyro_bias_small":
-        return _shift(imu, {"gx": 0.03, "gy": -0.02, "gz": 0.015})
-    if preset == "mag_bias_30ut":
-        return _shift(imu, {"mx": 30.0, "my": -15.0, "mz": 10.0})
+        return imu.withColumns({c: -F.col(c) for c in FLIPPED})
+    if preset in BIAS:
+        return imu.withColumns({c: F.col(c) + v for c, v in BIAS[preset].items()})
     raise ValueError(f"Unsupported corruption preset: {preset}")
 
 
@@ -56,8 +67,16 @@ def base_and_preset(df: DataFrame) -> DataFrame:
     return df.withColumns({"base_id": base, "preset": F.when(known, F.element_at(parts, -1)).otherwise("clean")})
 
 
-def all_presets(imu: DataFrame) -> DataFrame:
-    """Clean sessions and their five corrupted copies, told apart by preset and session id."""
-    clean = imu.withColumn("preset", F.lit("clean"))
-    copies = [corrupt(imu, p).withColumns({"session_id": corrupted_id(F.col("session_id"), p), "preset": F.lit(p)}) for p in PRESETS]
-    return reduce(DataFrame.unionByName, copies, clean)
+def all_presets(imu: DataFrame, seed: int = SEED) -> DataFrame:
+    """Clean sessions and their five corrupted copies, told apart by preset and session id. The rows are read and ordered once, and dealt to the copies."""
+    rows = _with_jitter(_with_loss(imu, seed), seed).withColumn("preset", F.explode(F.array(*map(F.lit, ("clean", *PRESETS)))))
+    rows = rows.where(~((F.col("preset") == "packet_loss_5") & F.col("__lost")))
+    preset = F.col("preset")
+    changed = {"t_ms": F.when(preset == "timestamp_jitter_3ms", F.col("__jittered")).otherwise(F.col("t_ms"))}
+    for c in dict.fromkeys((*FLIPPED, *(c for add in BIAS.values() for c in add))):
+        value = F.when((preset == "axis_flip_x") & F.lit(c in FLIPPED), -F.col(c))
+        for name, add in BIAS.items():
+            value = value.when(preset == name, F.col(c) + add.get(c, 0.0))
+        changed[c] = value.otherwise(F.col(c))
+    session = F.when(preset == "clean", F.col("session_id")).otherwise(F.concat("session_id", F.lit("__"), preset))
+    return rows.withColumns(changed | {"session_id": session}).drop("__lost", "__jittered").select(*imu.columns, "preset")

@@ -1,4 +1,5 @@
-"""Orientation filters (R1, R2): recurrences over a session, so one Python group for each; written from the published papers.
+"""Orientation filters (R1, R2), written from the published papers: recurrences over a session, whose rows are streamed in order through one task.
+Only the filter's state is held between batches, so a session of any length fits.
 
 Madgwick's gradient descent (2010) and Mahony's complementary filter (2008), with or without magnetometer. A row that is incomplete, or has no direction, only integrates
 the rates it has (missing rates count as 0).
@@ -6,6 +7,9 @@ the rates it has (missing rates count as 0).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,89 +21,89 @@ from gyrolens.functions.expressions import euler
 SCHEMA = "session_id string, row_idx long, t_ms long, qw double, qx double, qy double, qz double"
 
 
-def _multiply(p, q):
-    a, b, c, d = p
-    e, f, g, h = q
-    return np.array([a * e - b * f - c * g - d * h, a * f + b * e + c * h - d * g, a * g - b * h + c * e + d * f, a * h + b * g - c * f + d * e])
-
-
 def _unit(v):
-    n = np.sqrt((v * v).sum())
-    return v / n if n > 0 and np.isfinite(n) else None
-
-
-def _rotation(q):
-    """Body to earth."""
-    w, x, y, z = q
-    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+    n = math.sqrt(sum(c * c for c in v))
+    return [c / n for c in v] if n > 0 and math.isfinite(n) else None
 
 
 def _start(acc, mag):
     """Orientation that puts gravity up, and the field, if any, to the north."""
     up = _unit(acc) if acc is not None else None
     if up is None:
-        return np.array([1.0, 0, 0, 0])
-    roll, pitch, yaw = np.arctan2(up[1], up[2]), np.arctan2(-up[0], np.hypot(up[1], up[2])), 0.0
+        return [1.0, 0.0, 0.0, 0.0]
+    roll, pitch, yaw = math.atan2(up[1], up[2]), math.atan2(-up[0], math.hypot(up[1], up[2])), 0.0
     if mag is not None and _unit(mag) is not None:
-        mx = mag[0] * np.cos(pitch) + mag[1] * np.sin(roll) * np.sin(pitch) + mag[2] * np.cos(roll) * np.sin(pitch)
-        yaw = np.arctan2(-(mag[1] * np.cos(roll) - mag[2] * np.sin(roll)), mx)
-    cr, sr, cp, sp, cy, sy = np.cos(roll / 2), np.sin(roll / 2), np.cos(pitch / 2), np.sin(pitch / 2), np.cos(yaw / 2), np.sin(yaw / 2)
-    return np.array([cr * cp * cy + sr * sp * sy, sr * cp * cy - cr * sp * sy, cr * sp * cy + sr * cp * sy, cr * cp * sy - sr * sp * cy])
-
-
-def _errors(q, acc, mag):
-    """Pairs of (direction expected in the body frame, direction measured)."""
-    r = _rotation(q)
-    pairs = []
-    if (a := _unit(acc)) is not None:
-        pairs.append((r.T @ np.array([0.0, 0, 1]), a, np.array([0.0, 0, 1])))
-    if mag is not None and pairs and (m := _unit(mag)) is not None:
-        h = r @ m
-        b = np.array([np.hypot(h[0], h[1]), 0.0, h[2]])
-        pairs.append((r.T @ b, m, b))
-    return pairs
-
-
-def _jacobian(q, d):
-    """Derivative by q of the direction d (x and z components only) seen in the body frame."""
+        mx = mag[0] * math.cos(pitch) + mag[1] * math.sin(roll) * math.sin(pitch) + mag[2] * math.cos(roll) * math.sin(pitch)
+        yaw = math.atan2(-(mag[1] * math.cos(roll) - mag[2] * math.sin(roll)), mx)
+    cr, sr, cp, sp, cy, sy = (f(a / 2) for a in (roll, pitch, yaw) for f in (math.cos, math.sin))
+    return [cr * cp * cy + sr * sp * sy, sr * cp * cy - cr * sp * sy, cr * sp * cy + sr * cp * sy, cr * cp * sy - sr * sp * cy]
+
+
+def _pairs(q, acc, mag):
+    """Triples of (direction expected in the body frame, direction measured, the x and z of the direction in the earth's)."""
+    if acc is None or (a := _unit(acc)) is None:
+        return []
+    w, x, y, z = q
+    rows = ((1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)), (2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)), (2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)))
+    found = [(rows[2], a, (0.0, 1.0))]
+    if mag is not None and (m := _unit(mag)) is not None:
+        h = [r[0] * m[0] + r[1] * m[1] + r[2] * m[2] for r in rows]
+        bx, bz = math.hypot(h[0], h[1]), h[2]
+        found.append(([bx * e + bz * u for e, u in zip(rows[0], rows[2])], m, (bx, bz)))
+    return found
+
+
+def _gradient(q, pairs):
+    """Of half the squared distances between the directions expected and measured, by q."""
     w, x, y, z = q
-    dx, dz = d[0], d[2]
-    return 2 * np.array([
-        [-dz * y, dz * z, -2 * dx * y - dz * w, -2 * dx * z + dz * x],
-        [-dx * z + dz * x, dx * y + dz * w, dx * x + dz * z, -dx * w + dz * y],
-        [dx * y, dx * z - 2 * dz * x, dx * w - 2 * dz * y, dx * x],
-    ])
-
-
-def orient(gyro: np.ndarray, acc: np.ndarray, mag: np.ndarray | None, hz: float, method: str, cfg: ReplayConfig = ReplayConfig()) -> np.ndarray:
-    """Unit quaternions (w, x, y, z) of n rows."""
-    n, dt = len(gyro), 1.0 / hz
-    out = np.empty((n, 4))
-    if not n:
-        return out
-    integral = np.zeros(3)
-    q = _start(acc[0] if np.isfinite(acc[0]).all() else None, mag[0] if mag is not None and np.isfinite(mag[0]).all() else None)
-    out[0] = q
-    for i in range(1, n):
-        rate = np.nan_to_num(gyro[i])
-        m = mag[i] if mag is not None and np.isfinite(mag[i]).all() else None
-        pairs = _errors(q, acc[i], m) if np.isfinite(acc[i]).all() else []
-        if method == "mahony":
-            if pairs:
-                e = sum(np.cross(measured, seen) for seen, measured, _ in pairs)
-                integral = integral + cfg.mahony_ki * e * dt
-                rate = rate + cfg.mahony_kp * e + integral
-            step = 0.5 * _multiply(q, np.concatenate([[0.0], rate]))
-        else:
-            step = 0.5 * _multiply(q, np.concatenate([[0.0], rate]))
-            if pairs:
-                gradient = sum(_jacobian(q, d).T @ (seen - measured) for seen, measured, d in pairs)
-                if (g := _unit(gradient)) is not None:
-                    step = step - cfg.madgwick_gain * g
-        q = q + step * dt
-        q = q / np.sqrt((q * q).sum())
-        out[i] = q
-    return out
+    g = [0.0, 0.0, 0.0, 0.0]
+    for seen, measured, (dx, dz) in pairs:
+        e, f, h = (s - m for s, m in zip(seen, measured))
+        g[0] += 2 * (-dz * y * e + (dz * x - dx * z) * f + dx * y * h)
+        g[1] += 2 * (dz * z * e + (dx * y + dz * w) * f + (dx * z - 2 * dz * x) * h)
+        g[2] += 2 * ((-2 * dx * y - dz * w) * e + (dx * x + dz * z) * f + (dx * w - 2 * dz * y) * h)
+        g[3] += 2 * ((dz * x - 2 * dx * z) * e + (dz * y - dx * w) * f + dx * x * h)
+    return g
+
+
+class Filter:
+    """One session's filter. It holds a quaternion and an integral, so rows can come in pieces of any size."""
+
+    def __init__(self, hz: float, method: str, cfg: ReplayConfig = ReplayConfig()):
+        self.dt, self.mahony, self.cfg = 1.0 / hz, method == "mahony", cfg
+        self.q, self.integral = None, [0.0, 0.0, 0.0]
+
+    def step(self, gyro, acc, mag):
+        """The unit quaternion after a row. acc and mag are None unless complete; the first row only sets the start."""
+        if self.q is None:
+            self.q = _start(acc, mag)
+            return self.q
+        q, rate, dt = self.q, gyro, self.dt
+        pairs = _pairs(q, acc, mag)
+        if self.mahony and pairs:
+            off = [0.0, 0.0, 0.0]
+            for (a, b, c), (d, e, f), _ in pairs:  # measured x expected
+                off = [off[0] + e * c - f * b, off[1] + f * a - d * c, off[2] + d * b - e * a]
+            self.integral = [i + self.cfg.mahony_ki * e * dt for i, e in zip(self.integral, off)]
+            rate = [r + self.cfg.mahony_kp * e + i for r, e, i in zip(rate, off, self.integral)]
+        (w, x, y, z), (a, b, c) = q, rate
+        change = [0.5 * (-x * a - y * b - z * c), 0.5 * (w * a + y * c - z * b), 0.5 * (w * b - x * c + z * a), 0.5 * (w * c + x * b - y * a)]
+        if not self.mahony and pairs and (g := _unit(_gradient(q, pairs))) is not None:
+            change = [s - self.cfg.madgwick_gain * d for s, d in zip(change, g)]
+        q = [v + s * dt for v, s in zip(q, change)]
+        n = math.sqrt(sum(v * v for v in q))
+        self.q = [v / n for v in q]
+        return self.q
+
+
+def orient(gyro: np.ndarray, acc: np.ndarray, mag: np.ndarray | None, hz: float, method: str, cfg: ReplayConfig = ReplayConfig(), state: Filter | None = None) -> np.ndarray:
+    """Unit quaternions (w, x, y, z) of n rows; state: a filter that has seen the rows before."""
+    state = state or Filter(hz, method, cfg)
+    whole = lambda m: np.isfinite(m).all(axis=1).tolist()
+    n = len(gyro)
+    fields, some = (mag.tolist(), whole(mag)) if mag is not None else ([None] * n, [False] * n)
+    rows = zip(np.nan_to_num(gyro).tolist(), acc.tolist(), whole(acc), fields, some)
+    return np.array([state.step(g, a if has_a else None, m if has_m else None) for g, a, has_a, m, has_m in rows]).reshape(n, 4)
 
 
 def with_rate(imu: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -112,14 +116,21 @@ def replay(imu: DataFrame, method: str, cfg: ReplayConfig = ReplayConfig()) -> D
     if method not in ("madgwick", "mahony"):
         raise ValueError(f"Unsupported baseline: {method}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_ms", "row_idx"])
-        mag = pdf[["mx", "my", "mz"]].to_numpy(float)
-        hz = pdf["hz"].iloc[0]
-        q = orient(pdf[["gx", "gy", "gz"]].to_numpy(float), pdf[["ax", "ay", "az"]].to_numpy(float), mag if np.isfinite(mag).all(axis=1).any() else None, hz if hz and hz > 0 else 100.0, method, cfg)
-        return pdf[["session_id", "row_idx", "t_ms"]].assign(qw=q[:, 0], qx=q[:, 1], qy=q[:, 2], qz=q[:, 3])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = None, None
+        for batch in batches:
+            parts = []
+            for name, pdf in batch.groupby("session_id", sort=False, dropna=False):
+                if name != session:
+                    hz = pdf["hz"].iloc[0]
+                    session, state = name, Filter(hz if hz and hz > 0 else 100.0, method, cfg)
+                q = orient(pdf[["gx", "gy", "gz"]].to_numpy(float), pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["mx", "my", "mz"]].to_numpy(float), 1 / state.dt, method, cfg, state)
+                parts.append(pdf[["session_id", "row_idx", "t_ms"]].assign(qw=q[:, 0], qx=q[:, 1], qy=q[:, 2], qz=q[:, 3]))
+            if parts:
+                yield pd.concat(parts)
 
     rows = imu if "hz" in imu.columns else imu.withColumn("hz", F.lit(100.0))
-    found = rows.select("session_id", "row_idx", "t_ms", "ax", "ay", "az", "gx", "gy", "gz", "mx", "my", "mz", F.col("hz").cast("double")).groupBy("session_id").applyInPandas(run, SCHEMA)
+    rows = rows.select("session_id", "row_idx", "t_ms", "ax", "ay", "az", "gx", "gy", "gz", "mx", "my", "mz", F.col("hz").cast("double"))
+    found = rows.repartition("session_id").sortWithinPartitions("session_id", "t_ms", "row_idx").mapInPandas(run, SCHEMA)
     roll, pitch, yaw = euler(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
     return found.withColumns({"roll": roll, "pitch": pitch, "yaw": yaw})

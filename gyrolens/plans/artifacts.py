@@ -10,11 +10,11 @@ import html
 import io
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolens.config import ARTIFACT_SCHEMA_VERSION, AuditConfig
-from gyrolens.operators import compare, intervals
+from gyrolens.operators import compare, intervals, sampling
 
 #: Labels and advice for each reason code.
 REASONS = {
@@ -86,9 +86,7 @@ def save_batch(spark, summary: DataFrame, path: str) -> dict:
 
 def downsample(df: DataFrame, max_points: int = 1200) -> DataFrame:
     """Evenly spread rows of each session, in time order: all of them if there are no more than max_points."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("t_ms", "row_idx")) - 1
-    rows = df.withColumns({"__n": n, "__i": place})
+    rows = sampling.numbered(df, "__i", total="__n")
     # Row i is taken if some j has floor(j * (n - 1) / (max - 1)) = i.
     j = F.ceil(F.col("__i") * (max_points - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
     taken = (F.col("__n") <= max_points) | (F.floor(j * (F.col("__n") - 1) / (max_points - 1)) == F.col("__i"))

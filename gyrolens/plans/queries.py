@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,7 +204,8 @@ def _corrupt(preset: str, *columns: str):
 
 
 def _audited_presets(s, d):
-    imu, every, fixes = corruption.all_presets(V.imu(s, d)), corruption.copies_of(V.sessions(s, d)), corruption.copies_of(V.gps(s, d))
+    # The audit reads the copies several times; blocks on disk are dealt anew from the plan if an executor is lost.
+    imu, every, fixes = corruption.all_presets(V.imu(s, d)).persist(StorageLevel.DISK_ONLY), corruption.copies_of(V.sessions(s, d)), corruption.copies_of(V.gps(s, d))
     checks = audit.gps_checks(imu, fixes)
     windows = audit.window_penalties(audit.window_metrics(imu, every, STREAM), every, checks, STREAM)
     scores = audit.session_scores(imu, windows, every, checks, STREAM)
@@ -225,7 +227,8 @@ def validation_delta_stats(s, d):
 
 
 def rolling_mean_centered(s, d):
-    return V.imu(s, d).select("session_id", "row_idx", F.round(motion.rolling_mean(F.col("ax"), 4), 9).alias("even"), F.round(motion.rolling_mean(F.col("ax"), 5), 9).alias("odd"))
+    rows = motion.rolling_means(V.imu(s, d).select("session_id", "row_idx", "t_ms", "ax"), {"even": (F.col("ax"), 4), "odd": (F.col("ax"), 5)})
+    return rows.select("session_id", "row_idx", F.round("even", 9).alias("even"), F.round("odd", 9).alias("odd"))
 
 
 def _steps(s, d):

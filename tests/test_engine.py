@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gyrolens.config import AuditConfig
@@ -90,6 +91,48 @@ def test_previous_row_crosses_buckets(spark):
     assert got == {0: None, 5: 0, 3_600_000: 5, 9_000_000: 3_600_000}
 
 
+def test_sessions_cut_into_cells(spark):
+    """Numbers, sums and maxima over cells of any width are those of one window over the session."""
+    r = np.random.default_rng(8)
+    rows = [(s, i, int(t), float(v) if v > -1 else None) for s in "ab" for i, (t, v) in enumerate(zip(np.sort(r.integers(0, 500, 300)), r.normal(size=300)))]
+    df = spark.createDataFrame(rows, "session_id string, row_idx long, t_ms long, v double")
+    along = Window.partitionBy("session_id").orderBy("t_ms", "row_idx")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cell = F.floor(F.col("t_ms") / 37)
+    got = sampling.numbered(df, "n", cell=cell, total="size")
+    got = sampling.running_sums(got, {"s": F.col("v")}, cell=cell)
+    got = sampling.running_max(got, F.col("v"), "top", cell=cell)
+    want = df.withColumns({"n": F.row_number().over(along) - 1, "size": F.lit(300), "s": F.coalesce(F.sum("v").over(so_far), F.lit(0.0)), "top": F.max("v").over(so_far)})
+    pick = lambda d: sorted((x.session_id, x.row_idx, x.n, x.size, round(x.s, 9), x.top) for x in d.collect())
+    assert pick(got) == pick(want)
+    dealt, block = sampling.in_blocks(df, 3, 2, block=10)
+    means = sampling.own_rows(dealt.withColumn("m", F.avg("v").over(block.rowsBetween(-3, 2))))
+    plain = df.withColumn("m", F.avg("v").over(along.rowsBetween(-3, 2)))
+    pick = lambda d: sorted((x.session_id, x.row_idx, x.m) for x in d.collect())
+    assert pick(means) == pick(plain) and means.columns == [*df.columns, "m"]
+
+
+def test_copies_are_those_of_each_preset(spark):
+    imu = recording(spark, 300).unionByName(recording(spark, 100, "other"))
+    every = corruption.all_presets(imu)
+    for preset in corruption.PRESETS:
+        got = every.where(F.col("preset") == preset).drop("preset")
+        want = corruption.corrupt(imu, preset).withColumn("session_id", corruption.corrupted_id(F.col("session_id"), preset)).select(*got.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert every.where("preset = 'clean'").drop("preset").exceptAll(imu).isEmpty()
+
+
+def test_facts_of_one_pass(spark):
+    imu = recording(spark, 400, t_ms=[10 * i + (500 if i > 200 else 0) for i in range(400)]).unionByName(recording(spark, 1, "single"))
+    got = {r.session_id: r for r in sampling.session_facts(imu).collect()}
+    for part in (sampling.sampling_stats(imu), sampling.gap_ratio(imu), sampling.freeze_ratio(imu)):
+        for row in part.collect():
+            assert all(row[c] == got[row.session_id][c] for c in part.columns if c in got[row.session_id] and c != "session_id")
+    assert got["s"].gap_count == 1 and got["single"].dropout_ratio is None and got["single"].freeze_ratio == 0
+    dt = [10.0] * 398 + [510.0]
+    assert math.isclose(got["s"].jitter_ms, np.std(dt)) and got["s"].median_dt_ms == 10
+
+
 def test_intervals(spark):
     i = spark.createDataFrame([("s", 0, 10), ("s", 10, 20), ("s", 21, 30), ("s", 22, 25)], "session_id string, start_ms long, end_ms long")
     merged = intervals.merge_intervals(i)
@@ -160,6 +203,9 @@ def test_filters_hold_still_and_turn(spark):
         assert np.allclose(np.linalg.norm(q, axis=1), 1) and abs(2 * np.arctan2(q[-1, 3], q[-1, 0]) - 0.5 * (n - 1) / hz) < 1e-3
         tilted = replay.orient(np.zeros((n, 3)), np.tile([0, 6.93, 6.93], (n, 1)), np.tile([30.0, 5, 20], (n, 1)), hz, method)
         assert np.allclose(tilted[0], tilted[-1], atol=1e-3)
+        state = replay.Filter(hz, method)  # pieces of any size give what the whole gives
+        pieces = [replay.orient(turn[i : i + 7], acc[i : i + 7], None, hz, method, state=state) for i in range(0, n, 7)]
+        assert (np.concatenate(pieces) == q).all()
     assert replay.replay(recording(spark, 50), "mahony").count() == 50
     with pytest.raises(ValueError):
         replay.replay(recording(spark, 5), "kalman")
