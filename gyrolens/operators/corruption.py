@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +52,18 @@ def corrupted_id(session_id: Column, preset: str) -> Column:
     return F.concat(session_id, F.lit(f"__{preset}"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A row for each row and preset, the clean one first."""
+    return df.withColumn("preset", F.explode(F.array(*map(F.lit, ("clean", *PRESETS)))))
+
+
+def _copy_id() -> Column:
+    return F.when(F.col("preset") == "clean", F.col("session_id")).otherwise(F.concat("session_id", F.lit("__"), "preset"))
+
+
 def copies_of(df: DataFrame) -> DataFrame:
     """What belongs to sessions (their facts, their GPS), for the clean ones and each corrupted copy."""
-    return reduce(DataFrame.unionByName, [df.withColumn("session_id", corrupted_id(F.col("session_id"), p)) for p in PRESETS], df)
+    return _dealt(df).withColumn("session_id", _copy_id()).drop("preset")
 
 
 def base_and_preset(df: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def base_and_preset(df: DataFrame) -> DataFrame:
 
 def all_presets(imu: DataFrame, seed: int = SEED) -> DataFrame:
     """Clean sessions and their five corrupted copies, told apart by preset and session id. The rows are read and ordered once, and dealt to the copies."""
-    rows = _with_jitter(_with_loss(imu, seed), seed).withColumn("preset", F.explode(F.array(*map(F.lit, ("clean", *PRESETS)))))
+    rows = _dealt(_with_jitter(_with_loss(imu, seed), seed))
     rows = rows.where(~((F.col("preset") == "packet_loss_5") & F.col("__lost")))
     preset = F.col("preset")
     changed = {"t_ms": F.when(preset == "timestamp_jitter_3ms", F.col("__jittered")).otherwise(F.col("t_ms"))}
@@ -78,5 +85,4 @@ def all_presets(imu: DataFrame, seed: int = SEED) -> DataFrame:
         for name, add in BIAS.items():
             value = value.when(preset == name, F.col(c) + add.get(c, 0.0))
         changed[c] = value.otherwise(F.col(c))
-    session = F.when(preset == "clean", F.col("session_id")).otherwise(F.concat("session_id", F.lit("__"), preset))
-    return rows.withColumns(changed | {"session_id": session}).drop("__lost", "__jittered").select(*imu.columns, "preset")
+    return rows.withColumns(changed | {"session_id": _copy_id()}).drop("__lost", "__jittered").select(*imu.columns, "preset")
