@@ -123,18 +123,18 @@ def load_issues(spark, path: str) -> DataFrame:
 
 def gyro_bias_drift(windows: DataFrame) -> DataFrame:
     """Largest distance of a static window's mean rate from the first one's; 0 with fewer than two."""
-    static = windows.where("is_static")
-    base = static.groupBy("session_id").agg(F.min_by(F.struct("mean_gx", "mean_gy", "mean_gz"), "win_idx").alias("b"), F.min("win_idx").alias("first"))
+    at = F.when(F.col("is_static"), F.col("win_idx"))
+    base = windows.groupBy("session_id").agg(F.min_by(F.struct("mean_gx", "mean_gy", "mean_gz"), at).alias("b"), F.min(at).alias("first"))
     away = norm(*[F.col(f"mean_{g}") - F.col(f"b.mean_{g}") for g in ("gx", "gy", "gz")])
-    drift = static.join(base, "session_id").where(F.col("win_idx") != F.col("first")).groupBy("session_id").agg(F.max(away).alias("gyro_bias_drift_rads"))
-    return windows.select("session_id").distinct().join(drift, "session_id", "left").select("session_id", F.coalesce("gyro_bias_drift_rads", F.lit(0.0)).alias("gyro_bias_drift_rads"))
+    later = F.col("is_static") & (F.col("win_idx") != F.col("first"))
+    return windows.join(base, "session_id").groupBy("session_id").agg(F.coalesce(F.max(F.when(later, away)), F.lit(0.0)).alias("gyro_bias_drift_rads"))
 
 
-def session_scores(imu: DataFrame, windows: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """Scores, totals of penalties (t_<code>), reason codes and status of each session; sessions without windows score 0.92."""
+def session_scores(windows: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
+    """Scores, totals of penalties (t_<code>), reason codes and status of each session that gps_checks found rows of; sessions without windows score 0.92."""
     sums = windows.groupBy("session_id").agg(F.count(F.lit(1)).alias("window_count"), F.avg("trust_score").alias("window_mean"), F.avg(F.col("is_static").cast("int")).alias("static_window_ratio"), *[F.sum(f"p_{k}").alias(f"t_{k}") for k in WINDOW_CODES])
     zero = F.lit(0.0)
-    rows = imu.select("session_id").distinct().join(sums, "session_id", "left").join(gyro_bias_drift(windows), "session_id", "left").join(gps, "session_id").join(sessions.select("session_id", "has_mag", "has_gps", "has_pressure"), "session_id")
+    rows = gps.join(sums, "session_id", "left").join(gyro_bias_drift(windows), "session_id", "left").join(sessions.select("session_id", "has_mag", "has_gps", "has_pressure"), "session_id")
     rows = rows.fillna(0.0, ["static_window_ratio", "gyro_bias_drift_rads", *[f"t_{k}" for k in WINDOW_CODES]]).fillna(0, ["window_count"]).fillna(1.0, ["window_mean"])
     short = cfg.static_ratio_warn - F.col("static_window_ratio")
     off = F.coalesce(F.col("has_gps") & ((F.col("gps_alignment_ratio") < cfg.gps_align_low) | (F.col("gps_alignment_ratio") > cfg.gps_align_high)), F.lit(False))
@@ -165,7 +165,7 @@ def audit_windows(imu: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: Audi
 def audit_summary(imu: DataFrame, sessions: DataFrame, gps: DataFrame, cfg: AuditConfig = AuditConfig(), windows: DataFrame | None = None) -> DataFrame:
     """One row for each session with all results of the audit (A18). windows: those of audit_windows, if they are at hand."""
     windows = audit_windows(imu, sessions, gps, cfg) if windows is None else windows
-    scores = session_scores(imu, windows, sessions, gps_checks(imu, gps), cfg)
+    scores = session_scores(windows, sessions, gps_checks(imu, gps), cfg)
     rows = scores.join(sampling.session_facts(imu, cfg.positive_deltas, cfg.gap_factor), "session_id", "left").join(sampling.session_levels(imu, sessions), "session_id", "left")
     rows = rows.withColumn("duration_s", F.col("span_ms") / 1000.0)
     return rows.select(

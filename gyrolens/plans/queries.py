@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from gyrolens.functions import expressions as X
 from gyrolens.operators import asof, audit, benchmark, compare, corruption, har, intervals, motion, replay, sampling
 from gyrolens.plans import artifacts
 from gyrolens.plans import views as V
+from gyrolens.plans.tables import kept
 from gyrolens.sources import readers
 
 STREAM, MEMORY = AuditConfig(), AuditConfig.in_memory()
@@ -31,9 +31,10 @@ def _windows(s: SparkSession, d: str, cfg: AuditConfig = STREAM) -> DataFrame:
 
 
 def _scores(s: SparkSession, d: str, cfg: AuditConfig = STREAM) -> DataFrame:
-    imu, sessions, gps = V.imu(s, d), V.sessions(s, d), V.gps(s, d)
+    imu, sessions, gps = kept(V.imu(s, d), "imu"), V.sessions(s, d), V.gps(s, d)
     checks = audit.gps_checks(imu, gps)
-    return audit.session_scores(imu, audit.window_penalties(audit.window_metrics(imu, sessions, cfg), sessions, checks, cfg), sessions, checks, cfg)
+    windows = kept(audit.window_penalties(audit.window_metrics(imu, sessions, cfg), sessions, checks, cfg), "windows")
+    return audit.session_scores(windows, sessions, checks, cfg)
 
 
 def unit_conversions(s, d):
@@ -138,7 +139,8 @@ def session_trust_score_memory(s, d):
 
 
 def audit_summary(s, d):
-    rows = audit.audit_summary(V.imu(s, d), V.sessions(s, d), V.gps(s, d))
+    imu, sessions, gps = kept(V.imu(s, d), "imu"), V.sessions(s, d), V.gps(s, d)
+    rows = audit.audit_summary(imu, sessions, gps, windows=kept(audit.audit_windows(imu, sessions, gps), "windows"))
     numbers = ("duration_s", "nominal_hz", "jitter_ms", "trust_score", "static_window_ratio", "gyro_bias_drift_rads", "clipping_ratio", "pressure_stability_pa", "dropout_ratio", "gps_valid_ratio", "gps_alignment_ratio", *[f"t_{k}" for k in CODES])
     return rows.select("session_id", "status", "window_count", "missing_gap_count", *r6(*numbers), joined("reason_codes"), joined("skipped_checks"))
 
@@ -179,7 +181,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def compare_sessions(s, d):
-    rows = _numbered(_scores(s, d))
+    rows = _numbered(kept(_scores(s, d), "scores"))
     names = ("jitter_error", "static_ratio", "bias_drift")
     long = rows.select("kind", "number", F.inline(F.array(*[F.struct(F.lit("replay").alias("category"), F.lit("audit").alias("baseline"), F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in zip(names, ("t_timing_bad", "static_window_ratio", "gyro_bias_drift_rads"))])))
     keys = ("kind", "category", "baseline", "metric")
@@ -204,12 +206,11 @@ def _corrupt(preset: str, *columns: str):
 
 
 def _audited_presets(s, d):
-    # The audit reads the copies several times; blocks on disk are dealt anew from the plan if an executor is lost.
-    imu, every, fixes = corruption.all_presets(V.imu(s, d)).persist(StorageLevel.DISK_ONLY), corruption.copies_of(V.sessions(s, d)), corruption.copies_of(V.gps(s, d))
+    # The audit reads the copies and their windows several times.
+    imu, every, fixes = kept(corruption.all_presets(V.imu(s, d)).drop("preset"), "copies"), corruption.copies_of(V.sessions(s, d)), corruption.copies_of(V.gps(s, d))
     checks = audit.gps_checks(imu, fixes)
-    windows = audit.window_penalties(audit.window_metrics(imu, every, STREAM), every, checks, STREAM)
-    scores = audit.session_scores(imu, windows, every, checks, STREAM)
-    return corruption.base_and_preset(scores)
+    windows = kept(audit.window_penalties(audit.window_metrics(imu, every, STREAM), every, checks, STREAM), "windows")
+    return kept(corruption.base_and_preset(audit.session_scores(windows, every, checks, STREAM)), "scores")
 
 
 def trust_validation(s, d):

@@ -1,0 +1,30 @@
+"""Tables on the way: frames that a plan reads several times, written once to the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a temporary folder of a local master, removed at exit."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="gyrolens-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df from a table: later plans scan its columns instead of computing it anew, and an executor's loss costs nothing of it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
