@@ -60,7 +60,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "export":
         artifacts.dump_json(spark, f"{args.out}.summary.json", artifacts.export_sessions(imu, windows, args.out, args.profile, args.format, args.threshold, tuple(args.code)))
     elif args.command == "report":
-        artifacts.write_text(spark, args.out, artifacts.session_report(args.session, summary, windows, audit.window_issues(windows), imu, args.redact))
+        found, done = readers.load_sessions(spark, args.root), artifacts.load_corruption(spark, args.root)
+        extras = artifacts.Extras(found.get("gps"), found.get("ground_truth"), {p: artifacts.load_replay(spark, p) for p in args.replay}, [artifacts.load_benchmark(spark, p) for p in args.benchmark], done, artifacts.load_source_audit(spark, args.source_audit) if args.source_audit else None)
+        artifacts.write_text(spark, args.out, artifacts.session_report(args.session, summary, windows, audit.window_issues(windows), imu, args.redact, extras=extras))
     elif args.command == "compare":
         one = lambda s: summary.where(F.col("session_id") == s)
         pair = compare.compare_sessions(one(args.a).withColumn("pair", F.lit(1)), one(args.b).withColumn("pair", F.lit(1)), ["pair"])
@@ -73,8 +75,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(artifacts.format_summary(row, args.format))
         return int(row["fails"])
     elif args.command == "corrupt":
-        changed = corruption.corrupt(imu, args.preset).withColumn("session_id", corruption.corrupted_id(F.col("session_id"), args.preset))
-        readers.save_sessions({"imu": changed}, args.out)
+        readers.save_sessions(corruption.corrupt_frames(readers.load_sessions(spark, args.root), args.preset), args.out)
+        artifacts.dump_json(spark, f"{args.out}/{artifacts.CORRUPTION}", corruption.corruption_summary(args.preset, args.root, args.out))
     elif args.command == "replay":
         benchmark.replay_track(_rated(spark, args.root), args.baseline).write.mode("overwrite").partitionBy("session_id").parquet(args.out)
     elif args.command == "benchmark":
@@ -85,14 +87,22 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         _, sessions, gps = _frames(spark, args.root)
         # Corrupted copies keep their session's sensors, limits and GPS; only the rows change. They are written once, for the audit reads them often.
         copies = {"imu": corruption.all_presets(imu).drop("preset"), "sessions": corruption.copies_of(sessions), "gps": corruption.copies_of(gps)}
+        if truth := readers.load_sessions(spark, args.root).get("ground_truth"):
+            copies["ground_truth"] = corruption.copies_of(truth)
         for name, df in copies.items():
             df.write.mode("overwrite").parquet(f"{args.out}/copies/{name}")
             copies[name] = spark.read.schema(df.schema).parquet(f"{args.out}/copies/{name}")
-        scored = corruption.base_and_preset(audit.audit_summary(*copies.values(), AuditConfig.in_memory()))
+        scored = corruption.base_and_preset(audit.audit_summary(copies["imu"], copies["sessions"], copies["gps"], AuditConfig.in_memory()))
         rows = compare.validate(scored).persist()
         rows.write.mode("overwrite").json(f"{args.out}/presets")
-        compare.validation_summary(rows).write.mode("overwrite").json(f"{args.out}/sessions")
-        counts = compare.validation_summary(rows).agg(F.count(F.lit(1)).alias("session_count"), F.count_if("all_non_improving").alias("non_improving_count")).first()
+        rated = replay.with_rate(copies["imu"], copies["sessions"] if "nominal_hz" in copies["sessions"].columns else readers.describe_sessions(copies["imu"]))
+        benchmark.validation_metrics(rated, copies["sessions"], copies.get("ground_truth")).write.mode("overwrite").parquet(f"{args.out}/metrics")
+        deltas = compare.preset_deltas(corruption.base_and_preset(spark.read.parquet(f"{args.out}/metrics"))).withColumn("metric", F.concat_ws("_", "baseline", "metric"))
+        deltas.write.mode("overwrite").json(f"{args.out}/metric_deltas")
+        compare.delta_stats(deltas, "base_id").write.mode("overwrite").json(f"{args.out}/metric_stats")
+        sessions_found = compare.validation_summary(rows, deltas).persist()
+        sessions_found.write.mode("overwrite").json(f"{args.out}/sessions")
+        counts = sessions_found.agg(F.count(F.lit(1)).alias("session_count"), F.count_if("all_non_improving").alias("non_improving_count")).first()
         artifacts.dump_json(spark, f"{args.out}/validation.json", {"artifact_type": "batch_trustscore_validation"} | counts.asDict())
     return 0
 
@@ -113,7 +123,8 @@ def parser() -> argparse.ArgumentParser:
     command("ingest", (["source"], {}), (["--mapping"], {"required": True}), root=False)
     command("audit", (["--fail-below"], {"type": float}), (["--warning-below"], {"type": float}), form)
     command("export", (["--profile"], {"default": "canonical"}), (["--format"], {"default": "parquet"}), (["--threshold"], {"type": float, "default": AuditConfig().warning}), (["--code", "--reason-code"], {"action": "append", "default": [], "dest": "code"}))
-    command("report", (["--session"], {"required": True}), (["--redact"], {"action": "store_true"}))
+    several = {"action": "append", "default": []}
+    command("report", (["--session"], {"required": True}), (["--redact"], {"action": "store_true"}), (["--replay"], several), (["--benchmark"], several), (["--source-audit"], {}))
     command("compare", (["a"], {}), (["b"], {}), (["--fail-on"], {"default": "never", "choices": ("never", "regression", "mixed")}), (["--trust-drop-threshold"], {"type": float, "default": compare.THRESHOLD}), (["--json-out"], {}), (["--redact"], {"action": "store_true"}), form)
     command("corrupt", (["--preset"], {"required": True, "choices": corruption.PRESETS}))
     command("replay", (["--baseline"], {"default": "madgwick", "choices": benchmark.BASELINES}))

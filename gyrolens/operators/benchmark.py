@@ -62,6 +62,25 @@ def replay_metrics(track: DataFrame, truth: DataFrame | None, baseline: str, ste
     return reduce(DataFrame.unionByName, parts)
 
 
+def validation_metrics(imu: DataFrame, sessions: DataFrame, truth: DataFrame | None = None, cfg: ReplayConfig = ReplayConfig(), limits: LimitConfig = LimitConfig()) -> DataFrame:
+    """session_id, baseline, metric, value of each session's own task (V6): what its replay and its benchmark measure. imu brings hz.
+
+    Sessions without a task count as orientation. Those of other tasks, and those with more rows than the limits, have no metrics."""
+    top = min([n for n in (limits.replay_max_rows, limits.benchmark_max_rows) if n > 0], default=0)
+    sizes = imu.groupBy("session_id").count()
+    task = F.coalesce(F.col("task"), F.lit("orientation")) if "task" in sessions.columns else F.lit("orientation")
+    fit = sessions.select("session_id", task.alias("__task")).join(sizes.where(F.col("count") <= top) if top else sizes, "session_id").drop("count")
+    found = []
+    for kind, replayed in (("orientation", "madgwick"), ("pdr", "pdr")):
+        rows = imu.join(fit.where(F.col("__task") == kind).drop("__task"), "session_id", "left_semi")
+        if rows.isEmpty():
+            continue
+        measured = benchmark(rows, truth, kind, cfg, limits=LimitConfig(0, 0))
+        sources = F.when(F.col("baseline") == replayed, F.array(F.lit("replay_"), F.lit("benchmark_"))).otherwise(F.array(F.lit("benchmark_")))
+        found.append(measured.select("session_id", F.explode(F.transform(sources, lambda p: F.concat(p, "baseline"))).alias("baseline"), "metric", "value"))
+    return reduce(DataFrame.unionByName, found) if found else imu.sparkSession.createDataFrame([], "session_id string, baseline string, metric string, value double")
+
+
 def primary_metric(metrics: DataFrame, preferred: str, fallback: str) -> DataFrame:
     """session_id, primary_metric_name, primary_metric_value: the mean over baselines of the preferred metric, or else of the fallback; null without either."""
     mean = lambda name: F.avg(F.when(F.col("metric") == name, F.col("value")))

@@ -115,6 +115,6 @@ def preset_deltas(metrics: DataFrame) -> DataFrame:
     return metrics.where("preset <> 'clean'").join(clean, keys).select("base_id", "preset", "baseline", "metric", (F.col("value") - F.col("__c")).alias("delta"))
 
 
-def delta_stats(deltas: DataFrame) -> DataFrame:
-    """metric, preset_count, average_delta, max_delta, min_delta."""
-    return deltas.groupBy("metric").agg(F.count(F.lit(1)).alias("preset_count"), F.avg("delta").alias("average_delta"), F.max("delta").alias("max_delta"), F.min("delta").alias("min_delta"))
+def delta_stats(deltas: DataFrame, *by: str) -> DataFrame:
+    """metric, preset_count, average_delta, max_delta, min_delta; with ``by``, of each of its groups."""
+    return deltas.groupBy(*by, "metric").agg(F.count(F.lit(1)).alias("preset_count"), F.avg("delta").alias("average_delta"), F.max("delta").alias("max_delta"), F.min("delta").alias("min_delta"))

@@ -48,6 +48,26 @@ def corrupt(imu: DataFrame, preset: str, seed: int = SEED) -> DataFrame:
     raise ValueError(f"Unsupported corruption preset: {preset}")
 
 
+#: What is said of each preset.
+DESCRIPTIONS = {
+    "packet_loss_5": "A twentieth of the rows is lost.", "timestamp_jitter_3ms": "Times move by up to 3 ms, never back.", "axis_flip_x": "The x axis of all sensors is turned round.",
+    "gyro_bias_small": "Rates have a constant bias.", "mag_bias_30ut": "The field has a constant bias.",
+}
+
+
+def corruption_summary(preset: str, source: str, out: str, seed: int = SEED) -> dict:
+    """What was done to a set of sessions."""
+    return {"artifact_type": "corruption_summary", "preset": preset, "description": DESCRIPTIONS[preset], "source": source, "out": out, "seed": seed, "modifications": BIAS.get(preset, {})}
+
+
+def corrupt_frames(frames: dict[str, DataFrame], preset: str, seed: int = SEED) -> dict[str, DataFrame]:
+    """All frames of sessions under their new ids: the rows corrupted, GPS, truth and facts as they were, with the preset noted in the facts."""
+    out = {name: corrupt(df, preset, seed) if name == "imu" else df for name, df in frames.items()}
+    if "sessions" in out:
+        out["sessions"] = out["sessions"].withColumn("corruption", F.lit(preset))
+    return {name: df.withColumn("session_id", corrupted_id(F.col("session_id"), preset)) for name, df in out.items()}
+
+
 def corrupted_id(session_id: Column, preset: str) -> Column:
     return F.concat(session_id, F.lit(f"__{preset}"))
 

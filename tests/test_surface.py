@@ -34,9 +34,36 @@ def test_commands(spark, tmp_path):
     assert {r.primary_metric_name for r in spark.read.json(str(tmp_path / "bench" / "primary")).collect()} == {"step_count"}
     assert cli.main(["validate-trustscore", root, "--out", str(tmp_path / "v")], spark) == 0
     assert json.loads((tmp_path / "v" / "validation.json").read_text())["session_count"] == 2
+    stats = {r.metric: r.preset_count for r in spark.read.json(str(tmp_path / "v" / "metric_stats")).where("base_id = 'good'").collect()}
+    assert stats == {f"{b}_path_smoothness": 5 for b in ("replay_madgwick", "benchmark_madgwick", "benchmark_mahony")}
+    assert not any("metric" in t for r in spark.read.json(str(tmp_path / "v" / "sessions")).collect() for t in r.known_limitations)
     assert audit.load_issues(spark, f"{out}/issues").where("code = 'timing_bad'").count() > 0
 
 
+def test_report_shows_what_there_is(spark, tmp_path):
+    root, twin = str(tmp_path / "sessions"), str(tmp_path / "twin")
+    imu = recording(spark, 800, "good")
+    gps = spark.range(0, 8).select(F.lit("good").alias("session_id"), F.col("id").alias("row_idx"), (F.col("id") * 1000).alias("t_ms"), (F.col("id") / 9).alias("lat"), (F.col("id") / 7).alias("lon"), (F.col("id") != 3).alias("valid"))
+    truth = spark.range(0, 80).select(F.lit("good").alias("session_id"), F.col("id").alias("row_idx"), (F.col("id") * 100).alias("t_ms"), (F.col("id") / 9).alias("x"), (F.col("id") / 7).alias("y"), F.lit(0.1).alias("heading"))
+    readers.save_sessions({"imu": imu, "gps": gps, "ground_truth": truth, "sessions": readers.describe_sessions(imu, gps)}, root)
+    assert cli.main(["corrupt", root, "--preset", "packet_loss_5", "--out", twin], spark) == 0
+    done = artifacts.load_corruption(spark, twin)
+    assert done["preset"] == "packet_loss_5" and done["source"] == root and artifacts.load_corruption(spark, root) is None
+    frames = readers.load_sessions(spark, twin)
+    assert frames.keys() == {"imu", "gps", "ground_truth", "sessions"} and {r.session_id for f in frames.values() for r in f.select("session_id").distinct().collect()} == {"good__packet_loss_5"}
+    assert frames["imu"].count() == 760 and frames["sessions"].first().corruption == "packet_loss_5"
+    assert cli.main(["audit", root, "--out", str(tmp_path / "a")], spark) == 0
+    assert cli.main(["replay", twin, "--baseline", "pdr", "--out", str(tmp_path / "walk")], spark) == 0
+    assert cli.main(["benchmark", twin, "--task", "orientation", "--out", str(tmp_path / "bench")], spark) == 0
+    wanted = ["--replay", str(tmp_path / "walk"), "--benchmark", str(tmp_path / "bench"), "--source-audit", str(tmp_path / "a")]
+    assert cli.main(["report", twin, "--session", "good__packet_loss_5", *wanted, "--out", str(tmp_path / "r.html")], spark) == 0
+    text = (tmp_path / "r.html").read_text()
+    for part in ("GPS track", "Replay walk: heading", "path, with the truth", "heading_drift_rad", "<rect", "score before", "A twentieth of the rows is lost."):
+        assert part in text, part
+    assert cli.main(["report", root, "--session", "good", "--out", str(tmp_path / "p.html")], spark) == 0 and "Corruption" not in (tmp_path / "p.html").read_text()
+    assert cli.main(["report", root, "--session", "nobody", "--out", str(tmp_path / "n.html")], spark) == 2
+
+
 def test_downsample_is_even(spark):
     rows = spark.range(0, 1000).select(F.lit("s").alias("session_id"), F.col("id").alias("t_ms"), F.col("id").alias("row_idx"))
     got = sorted(r.t_ms for r in artifacts.downsample(rows, 7).collect())
