@@ -147,7 +147,7 @@ def cascade(probes: list[list[tuple[float, bool]]], rules: Iterable[str] = RULES
 
 
 def plan(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules in the order to run. The sample serves the order alone; only times and verdicts of it leave executors."""
+    """Names of the rules in the order to run. The sample serves the order alone; only times and verdicts of it leave executors. Copies of a text are one text of the sample, so a large group of them can't fill it."""
     places = 1 << 32
     share = sample_rows / max(sample_rows, docs.count())
 
@@ -157,7 +157,7 @@ def plan(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS
             yield pa.record_batch({"seconds": pa.array([[x for x, _ in p] for p in rows], pa.list_(pa.float64())), "rejected": pa.array([[x for _, x in p] for p in rows], pa.list_(pa.bool_()))})
 
     text = F.col(f"`{text_col}`")
-    chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(places)) < int(places * share))
+    chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(places)) < int(places * share)).distinct()
     rows = chosen.mapInArrow(probed, "seconds array<double>, rejected array<boolean>").collect()
     return [c.rule for c in cascade([list(zip(r["seconds"], r["rejected"])) for r in rows])]
 
