@@ -28,47 +28,58 @@ def sliding_windows(imu: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFra
     return imu.join(starts, "session_id").withColumn("win_idx", F.explode(F.sequence(first, F.floor(d / cfg.step_ms).cast("long")))).drop("t0")
 
 
-def window_metrics(imu: DataFrame, sessions: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """The ten metrics of each window of two rows or more, its first and last time and the mean rates."""
-    rows = sliding_windows(imu, cfg)
-    order = Window.partitionBy("session_id", "win_idx").orderBy("t_ms", "row_idx")
-    prev = F.lag(F.struct("t_ms", *AXES)).over(order)
-    rows = rows.withColumn("prev", prev)
-    extra = sessions.select("session_id", "acc_limit", "gyro_limit", "mag_limit")
-    if not cfg.own_median_gap:
-        extra = extra.join(sampling.sampling_stats(imu).select("session_id", F.col("median_dt_ms").alias("base_dt")), "session_id")
-    mags = [F.col(c) for c in MAG]
-    any_mag = reduce(lambda a, b: a | b, [c.isNotNull() for c in mags])
-    if not cfg.sensor_gates:  # the norm is null only where the whole session has no magnetometer
-        extra = extra.join(imu.groupBy("session_id").agg((F.count(F.when(any_mag, 1)) == 0).alias("no_mag")), "session_id")
-    rows = rows.join(extra, "session_id")
+def _any_mag() -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in MAG])
+
+
+def levels(no_mag: Column | None = None) -> list[Column]:
+    """Aggregates of a window's rows (with acc_limit, gyro_limit, mag_limit) that need no order. no_mag: whether the whole session has no field."""
     axes = [F.col(a) for a in AXES]
     acc, gyro = norm(*axes[:3]), norm(*axes[3:])
-    mag = safe_norm(F.col("no_mag") if not cfg.sensor_gates else F.lit(False), *mags)
-    dt = F.col("t_ms") - F.col("prev.t_ms")
-    repeat = F.when(F.col("prev").isNotNull(), sampling.repeats(axes, [F.col(f"prev.{a}") for a in AXES]).cast("int"))
+    mag = safe_norm(F.lit(False) if no_mag is None else no_mag, *[F.col(c) for c in MAG])
     whole_std = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.stddev_pop(c))
-    got = rows.groupBy("session_id", "win_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.coalesce(F.stddev_pop(dt), F.lit(0.0)).alias("jitter_ms"), F.percentile(dt, 0.5).alias("median_dt"), F.collect_list(dt).alias("dts"),
-        *([] if cfg.own_median_gap else [F.max("base_dt").alias("base_dt")]),
-        F.greatest(F.avg(repeat), F.avg(sampling.zeros(axes).cast("int"))).alias("freeze_ratio"),
+    return [
+        F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.avg(sampling.zeros(axes).cast("int")).alias("zero_share"),
         F.coalesce(F.greatest(sampling.clipped_share(AXES[:3], F.col("acc_limit")), sampling.clipped_share(AXES[3:], F.col("gyro_limit")), sampling.clipped_share(MAG, F.col("mag_limit"))), F.lit(0.0)).alias("clipping_ratio"),
         whole_std(acc).alias("acc_std"), whole_std(gyro).alias("gyro_std"), F.percentile(F.abs(acc - GRAVITY), 0.5).alias("gravity_residual"),
-        F.count(F.when(any_mag, 1)).alias("mag_rows"), F.count(mag).alias("mag_n"), F.avg(mag).alias("mag_mean"), F.stddev_pop(mag).alias("mag_std"),
+        F.count(F.when(_any_mag(), 1)).alias("mag_rows"), F.count(mag).alias("mag_n"), F.avg(mag).alias("mag_mean"), F.stddev_pop(mag).alias("mag_std"),
         F.coalesce(F.max("pressure_pa") - F.min("pressure_pa"), F.lit(0.0)).alias("pressure_delta"), F.coalesce(F.stddev_pop("pressure_pa"), F.lit(0.0)).alias("pressure_std"),
         F.avg("gx").alias("mean_gx"), F.avg("gy").alias("mean_gy"), F.avg("gz").alias("mean_gz"),
-    )
+    ]
+
+
+def finished(got: DataFrame, cfg: AuditConfig, *keys: str) -> DataFrame:
+    """The ten metrics from levels() and what the steps gave: dts, median_dt or base_dt, jitter_ms, repeat_share."""
     limit = cfg.gap_factor * F.greatest(F.col("median_dt" if cfg.own_median_gap else "base_dt"), F.lit(1.0))
     has_mag = (F.col("mag_n") > 3) & (F.col("mag_mean") > 0) & ((F.col("mag_rows") > 0) if cfg.sensor_gates else F.lit(True))
     return (
         got.where(F.col("n") >= 2)
         .withColumn("__limit", limit)
         .withColumn("missing_ratio", F.size(F.filter("dts", lambda x: x > F.col("__limit"))) / F.size("dts"))
+        .withColumn("freeze_ratio", F.greatest("repeat_share", "zero_share"))
         .withColumn("mag_cv", F.when(has_mag, F.col("mag_std") / F.col("mag_mean")).otherwise(0.0))
-        .select("session_id", "win_idx", "n", "start_ms", "end_ms", *METRICS, "mean_gx", "mean_gy", "mean_gz")
+        .select(*keys, "session_id", "win_idx", "n", "start_ms", "end_ms", *METRICS, "mean_gx", "mean_gy", "mean_gz")
     )
 
 
+def window_metrics(imu: DataFrame, sessions: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
+    """The ten metrics of each window of two rows or more, its first and last time and the mean rates."""
+    order = Window.partitionBy("session_id", "win_idx").orderBy("t_ms", "row_idx")
+    rows = sliding_windows(imu, cfg).withColumn("prev", F.lag(F.struct("t_ms", *AXES)).over(order))
+    extra = sessions.select("session_id", "acc_limit", "gyro_limit", "mag_limit")
+    if not cfg.own_median_gap:
+        extra = extra.join(sampling.sampling_stats(imu).select("session_id", F.col("median_dt_ms").alias("base_dt")), "session_id")
+    if not cfg.sensor_gates:  # the norm is null only where the whole session has no magnetometer
+        extra = extra.join(imu.groupBy("session_id").agg((F.count(F.when(_any_mag(), 1)) == 0).alias("no_mag")), "session_id")
+    dt = F.col("t_ms") - F.col("prev.t_ms")
+    repeat = F.when(F.col("prev").isNotNull(), sampling.repeats([F.col(a) for a in AXES], [F.col(f"prev.{a}") for a in AXES]).cast("int"))
+    got = rows.join(extra, "session_id").groupBy("session_id", "win_idx").agg(
+        *levels(None if cfg.sensor_gates else F.col("no_mag")), F.coalesce(F.stddev_pop(dt), F.lit(0.0)).alias("jitter_ms"), F.percentile(dt, 0.5).alias("median_dt"), F.collect_list(dt).alias("dts"),
+        F.avg(repeat).alias("repeat_share"), *([] if cfg.own_median_gap else [F.max("base_dt").alias("base_dt")]),
+    )
+    return finished(got, cfg)
+
+
 def gps_checks(imu: DataFrame, gps: DataFrame) -> DataFrame:
     """gps_rows, gps_valid_ratio (0 without rows) and gps_alignment_ratio (null with under two rows) of each session."""
     spans = imu.groupBy("session_id").agg((F.max("t_ms") - F.min("t_ms")).cast("double").alias("span"))

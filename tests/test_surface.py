@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gyrolens import cli
@@ -71,14 +72,25 @@ def test_downsample_is_even(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    imu = recording(spark, 1000).withColumn("t0", F.lit(0).cast("long"))
-    imu.repartition(1).write.parquet(str(tmp_path / "in"))
-    windows = stream_windows(spark.readStream.schema(imu.schema).parquet(str(tmp_path / "in")))
-    query = windows.writeStream.outputMode("update").format("memory").queryName("streamed").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    got = {r.win_idx: (r.n, r.is_static) for r in spark.table("streamed").collect()}
-    want = audit.window_metrics(imu.drop("t0"), readers.describe_sessions(imu)).collect()
-    assert got == {r.win_idx: (r.n, True) for r in want}
+    n = 2500
+    late = [10 * i + 4 * (i % 3 == 1) + 300 * (i > 1200) for i in range(n)]
+    frozen = [0.2 if 300 < i < 500 else 0.1 * (i % 7) for i in range(n)]
+    imu = recording(spark, n, t_ms=late, ax=frozen, gz=[0.01 if 300 < i < 500 else 0.02 * (i % 3) for i in range(n)], mx=[42.0 + 30 * (i % 2) * (i > 1500) for i in range(n)])
+    sessions, checks = readers.describe_sessions(imu, None, (1.0, 4.0, 90.0)), audit.gps_checks(imu, spark.createDataFrame([], "session_id string, row_idx long, t_ms long, valid boolean"))
+    want = {r.win_idx: r.asDict() for r in audit.window_penalties(audit.window_metrics(imu, sessions), sessions, checks).collect()}
+    assert any(r["reason_codes"] for r in want.values()) and len({r["trust_score"] for r in want.values()}) >= 3
+    imu.withColumn("t0", F.lit(0).cast("long")).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    for mode, name in (("update", "streamed"), ("append", "closed")):
+        query = stream_windows(stream, sessions, checks).writeStream.outputMode(mode).format("memory").queryName(name).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        got = {r.win_idx: r.asDict() for r in spark.table(name).collect()}
+        # In append mode windows come when the watermark, ten seconds behind the last window's end, has passed them.
+        closed = max(want) * 2500 + 5000 - 10000
+        assert got.keys() == ({w for w in want if w * 2500 + 5000 <= closed} if mode == "append" else want.keys()) and got
+        for w, row in got.items():
+            for key, value in want[w].items():
+                assert row[key] == pytest.approx(value, abs=1e-9) if isinstance(value, float) else row[key] == value, (w, key)
