@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gyrolens.config import HarConfig, LimitConfig, ReplayConfig
 from gyrolens.operators import asof, har, motion, replay
+from gyrolens.operators.tables import kept
 
 BASELINES = ("madgwick", "mahony", "pdr")
 #: The metric that stands for a task, and the one taken where it is missing (fixed values).
@@ -34,15 +35,15 @@ def find_steps(imu: DataFrame, cfg: ReplayConfig = ReplayConfig()) -> DataFrame:
     return motion.accept_steps(reduce(DataFrame.unionByName, found), cfg.step_min_interval_ms) if found else motion.accept_steps(motion.step_candidates(imu, 3, cfg), cfg.step_min_interval_ms)
 
 
-def replay_track(imu: DataFrame, baseline: str, cfg: ReplayConfig = ReplayConfig(), limits: LimitConfig = LimitConfig()) -> DataFrame:
-    """Orientation of each row; for pdr also x and y, summed along Madgwick's headings. imu brings hz (see replay.with_rate)."""
+def replay_track(imu: DataFrame, baseline: str, cfg: ReplayConfig = ReplayConfig(), limits: LimitConfig = LimitConfig(), steps: DataFrame | None = None) -> DataFrame:
+    """Orientation of each row; for pdr also x and y, summed along Madgwick's headings. imu brings hz (see replay.with_rate); steps: those of find_steps, if they are at hand."""
     if baseline not in BASELINES:
         raise ValueError(f"Unsupported baseline: {baseline}")
     enforce_row_limit(imu, limits.replay_max_rows, "replay")
     track = replay.replay(imu, "madgwick" if baseline == "pdr" else baseline, cfg)
     if baseline != "pdr":
         return track
-    return motion.dead_reckoning(track, find_steps(imu, cfg), cfg)
+    return motion.dead_reckoning(track, find_steps(imu, cfg) if steps is None else steps, cfg)
 
 
 def _long(df: DataFrame, baseline: str, *names: str) -> DataFrame:
@@ -104,7 +105,9 @@ def benchmark(imu: DataFrame, truth: DataFrame | None, task: str, cfg: ReplayCon
         return _long(scores.withColumn("session_id", F.lit("all")), "rf_features", "accuracy", "macro_f1")
     found = []
     for baseline in ("madgwick", "mahony") if task == "orientation" else ("pdr",):
-        track = replay_track(imu, baseline, cfg, limits)
-        found.append(replay_metrics(track, truth, baseline, find_steps(imu, cfg) if baseline == "pdr" else None))
+        # Filters and steps run in Python and each metric reads the track, so both are written once.
+        steps = kept(find_steps(imu, cfg), "steps") if baseline == "pdr" else None
+        track = kept(replay_track(imu, baseline, cfg, limits, steps), "track")
+        found.append(replay_metrics(track, truth, baseline, steps))
     return reduce(DataFrame.unionByName, found)
 

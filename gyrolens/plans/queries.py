@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from gyrolens.config import CODES, AuditConfig
 from gyrolens.functions import expressions as X
 from gyrolens.operators import asof, audit, benchmark, compare, corruption, har, intervals, motion, replay, sampling
+from gyrolens.operators.tables import kept
 from gyrolens.plans import artifacts
 from gyrolens.plans import views as V
-from gyrolens.plans.tables import kept
 from gyrolens.sources import readers
 
 STREAM, MEMORY = AuditConfig(), AuditConfig.in_memory()
@@ -304,7 +304,8 @@ def describe_sessions(s, d):
 
 
 def _rated(s, d):
-    return replay.with_rate(V.imu(s, d), sampling.sampling_stats(V.imu(s, d), positive=True))
+    imu = kept(V.imu(s, d), "imu")
+    return kept(replay.with_rate(imu, sampling.sampling_stats(imu, positive=True)), "rated")
 
 
 def replay_madgwick(s, d):
